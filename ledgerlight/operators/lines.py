@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +39,8 @@ def classify_lines(
     """
     if header is not None:
         lines = without_header(lines, header)
-    # -1 keeps trailing empty fields; the pattern is quoted because split takes a regex.
-    fields = F.transform(F.split("value", "\\Q" + sep + "\\E", -1), strip)
+    # -1 keeps trailing empty fields. split takes a regex, and has a faster way for one character.
+    fields = F.transform(F.split("value", re.escape(sep), -1), strip)
     # Exploding a one-element array keeps the optimizer from copying the split into every
     # expression that reads a field: each line is split once.
     lines = lines.select("*", F.explode(F.array(fields)).alias("fields"))
@@ -103,7 +105,7 @@ def line_report(
 
 def tokens(df: DataFrame, col: str, sep: str = " ", name: str = "word") -> DataFrame:
     """One row per token of ``col``; empty tokens are kept."""
-    return df.select(F.explode(F.split(col, "\\Q" + sep + "\\E", -1)).alias(name))
+    return df.select(F.explode(F.split(col, re.escape(sep), -1)).alias(name))
 
 
 def token_counts(df: DataFrame, col: str, sep: str = " ", name: str = "word") -> DataFrame:

@@ -124,7 +124,7 @@ def histogram(df: DataFrame, cols: str | Sequence[str], bins: int = 30) -> DataF
     counts = (
         df.select(F.posexplode(F.array(*values)).alias("pos", "v"))
         .filter(F.col("v").isNotNull())
-        .select("pos", F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0)).alias("bin"))
+        .select("pos", F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).alias("bin"))
         .groupBy("pos", "bin")
         .agg(F.count(F.lit(1)).alias("count"))
     )
@@ -163,7 +163,7 @@ def density(df: DataFrame, col: str, grid: int = 200, bins: int = 512, hist_bins
     place = F.floor(F.try_divide(v - s["lo"], (s["hi"] - s["lo"]) / F.lit(bins))).cast("int")
     counts = (
         df.filter(v.isNotNull())
-        .groupBy(F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0)).alias("bin"))
+        .groupBy(F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).alias("bin"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
     # At most `bins` entries, whatever the size of the data.

@@ -50,7 +50,7 @@ _LINES = f"""
         CASE WHEN l_orderkey % 37 = 0 THEN '"' || p_name || ', senior"' ELSE p_name END,
         CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) || CASE WHEN l_orderkey % 41 = 0 THEN 'f' ELSE '' END,
         CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || CASE WHEN l_orderkey % 43 = 0 THEN '.0' ELSE '' END,
-        ' ' || n_name || ' ', o_orderpriority, c_mktsegment) AS line
+        chr(160) || n_name || ' ', o_orderpriority, c_mktsegment) AS line
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
       JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey),
   once AS (SELECT k, CASE WHEN k % 47 = 0 THEN '{LISTINGS_HEADER}' WHEN k % 53 = 0 THEN line || ',extra' ELSE line END AS value
@@ -67,7 +67,7 @@ _LINES = f"""
   valid AS (
     SELECT DISTINCT CAST(trim(f[1]) AS DOUBLE) AS "Rating", regexp_replace(f[2], '^\\s+|\\s+$', '', 'g') AS "Company Name",
       trim(f[3]) AS "Job Title", CAST(trim(f[4]) AS DOUBLE) AS "Salary", CAST(trim(f[5]) AS INTEGER) AS "Salaries Reported",
-      trim(f[6]) AS "Location", trim(f[7]) AS "Employment Status", trim(f[8]) AS "Job Roles"
+      trim(f[6], ' ' || chr(160)) AS "Location", trim(f[7]) AS "Employment Status", trim(f[8]) AS "Job Roles"
     FROM checked WHERE reason IS NULL)
 """
 

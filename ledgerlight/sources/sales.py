@@ -105,7 +105,7 @@ def listing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(every(43), F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(".0"))).otherwise(
             F.col("l_quantity").cast("int").cast("string")
         ),
-        F.concat(F.lit(" "), F.col("n_name"), F.lit(" ")),
+        F.concat(F.lit("\u00a0"), F.col("n_name"), F.lit(" ")),
         F.col("o_orderpriority"),
         F.col("c_mktsegment"),
     )
