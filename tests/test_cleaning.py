@@ -158,3 +158,12 @@ def test_every_line_is_valid_rejected_or_header(spark):
 def test_other_separators(spark):
     lines = spark.createDataFrame([("1|a|b|2|3|c|d|e",)], "value string")
     assert parse_lines(lines, LISTINGS, sep="|")[0].first()[:3] == (1.0, "a", "b")
+
+
+def test_default_date_format_agrees_with_try_to_date(spark):
+    texts = ["2024-02-29", "2023-02-29", "2024-13-01", "2024-1-2", "24-01-02", "2024-01-02 ", "2024-01-02T10", "2024", "0001-01-01", "bad", "", None]
+    df = spark.createDataFrame([(t, t) for t in texts], "text string, d string")
+    got = c.parse_date(df, "d").withColumn("want", F.try_to_date("text", "yyyy-MM-dd")).collect()
+    assert [r.d for r in got] == [r.want for r in got]
+    other = c.parse_date(spark.createDataFrame([("02/01/2024",)], "d string"), "d", "dd/MM/yyyy")
+    assert other.first().d == date(2024, 1, 2)
