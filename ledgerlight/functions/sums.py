@@ -4,10 +4,14 @@ A double sum changes in its last digits with the number of partitions and with e
 task. A ``decimal(18,2)`` sum is exact but took 8 times as long in our measurements (6.8 s
 against 0.8 s for 40 million rows) because each row builds a big-decimal from a double.
 
-Here a value is scaled to whole units (cents), and the units are added in two ``bigint`` sums:
+Here a value is scaled to whole units (millionths), and the units are added in two ``bigint`` sums:
 millions of units and the rest. Both run as plain long additions in generated code (0.5 s on the
-same rows). The parts are put together once per group as a decimal. The sum is exact up to
-9.2e18 million units per group, so a total over hundreds of terabytes cannot overflow.
+same rows). The parts are put together once per group as a decimal. A group can hold nine trillion
+rows and a total of 9.2e18, so sums over hundreds of terabytes cannot overflow.
+
+Values with up to six decimals below nine billion are added exactly; further decimals are rounded
+away per value. NaN, infinity and values beyond 9.2e12 raise an error; ``scale=None`` gives
+Spark's plain sum for measures that may hold those.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+SCALE = 6
 _CHUNK = 1_000_000
 
 
@@ -25,7 +30,7 @@ def _units(c: str | Column, scale: int) -> Column:
     return F.rint(c * F.lit(float(10**scale))).cast("bigint")
 
 
-def exact_total(c: str | Column, scale: int = 2) -> Column:
+def exact_total(c: str | Column, scale: int = SCALE) -> Column:
     """Exact, order-independent sum of a number with ``scale`` decimals, as a decimal."""
     units = _units(c, scale)
     chunk = F.lit(_CHUNK).cast("bigint")
@@ -37,12 +42,12 @@ def exact_total(c: str | Column, scale: int = 2) -> Column:
     return total.cast(f"decimal(38,{scale})")
 
 
-def exact_sum(c: str | Column, scale: int | None = 2) -> Column:
+def exact_sum(c: str | Column, scale: int | None = SCALE) -> Column:
     """:func:`exact_total` as a double; ``scale=None`` gives Spark's plain ``sum``."""
     return F.sum(c) if scale is None else exact_total(c, scale).cast("double")
 
 
-def exact_average(c: str | Column, scale: int | None = 2) -> Column:
+def exact_average(c: str | Column, scale: int | None = SCALE) -> Column:
     """Exact sum divided by the number of non-null values; null for an empty group."""
     if scale is None:
         return F.avg(c)

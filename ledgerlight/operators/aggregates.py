@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.columns import period_label
-from ledgerlight.functions.sums import exact_average, exact_sum, exact_total
+from ledgerlight.functions.sums import SCALE, exact_average, exact_sum, exact_total
 
 
 def _names(keys: str | Sequence[str]) -> list[str]:
@@ -32,7 +32,7 @@ def revenue_by(
     name: str = "revenue",
     order: str | None = "desc",
     top: int | None = None,
-    scale: int | None = 2,
+    scale: int | None = SCALE,
 ) -> DataFrame:
     """Sum of ``measure`` per key, ordered by it or, with ``top``, only the largest ones."""
     keys = _names(keys)
@@ -59,6 +59,22 @@ def category_performance(
     )
 
 
+def _by_period(df: DataFrame, date: str, period: str, separator: str, label: str, aggs: dict[str, Column]) -> DataFrame:
+    """Aggregates per period, in order of the label.
+
+    Rows are grouped by the first day of their period (or the quarter's number). The text label is
+    made once per group, not once per row.
+    """
+    day = F.col(date).cast("date")
+    if period == "quarter":
+        key, text = F.quarter(day), F.concat(F.lit("Q"), F.col("_period").cast("string"))
+    else:
+        text = period_label("_period", period, separator)
+        key = F.trunc(day, "month" if period == "month" else "quarter")
+    grouped = df.groupBy(key.alias("_period")).agg(*[c.alias(n) for n, c in aggs.items()])
+    return grouped.orderBy("_period").select(text.alias(label), *aggs)
+
+
 def revenue_by_period(
     df: DataFrame,
     date: str = "OrderDate",
@@ -68,26 +84,19 @@ def revenue_by_period(
     label: str = "period",
 ) -> DataFrame:
     """Revenue per ``month``, ``year_quarter`` or ``quarter``, in order of the label."""
-    return (
-        df.groupBy(period_label(date, period, separator).alias(label))
-        .agg(exact_sum(measure).alias("revenue"))
-        .orderBy(label)
-    )
+    return _by_period(df, date, period, separator, label, {"revenue": exact_sum(measure)})
 
 
 def period_stats(df: DataFrame, ts: str, measure: str, period: str = "month", label: str = "month_year") -> DataFrame:
     """Count, sum, minimum, maximum and mean of ``measure`` per period."""
-    return (
-        df.groupBy(period_label(ts, period).alias(label))
-        .agg(
-            F.count(measure).alias("record_count"),
-            exact_sum(measure).alias("total_price"),
-            F.min(measure).alias("min_price"),
-            F.max(measure).alias("max_price"),
-            exact_average(measure).alias("avg_price"),
-        )
-        .orderBy(label)
-    )
+    aggs = {
+        "record_count": F.count(measure),
+        "total_price": exact_sum(measure),
+        "min_price": F.min(measure),
+        "max_price": F.max(measure),
+        "avg_price": exact_average(measure),
+    }
+    return _by_period(df, ts, period, " ", label, aggs)
 
 
 def daily_totals(
@@ -96,7 +105,7 @@ def daily_totals(
     measure: str = "TotalAmount",
     keys: Sequence[str] = (),
     name: str = "value",
-    scale: int | None = 2,
+    scale: int | None = SCALE,
 ) -> DataFrame:
     """One row per key and day with the sum of ``measure``."""
     return df.groupBy(*keys, F.col(date).cast("date").alias("date")).agg(exact_sum(measure, scale).alias(name))
@@ -122,11 +131,11 @@ def key_totals(df: DataFrame, key: str, value: str, factor: float = 1.0) -> Data
 
 
 def key_values(df: DataFrame, key: str, value: str) -> DataFrame:
-    """All values of each key, in order, as (key, value, copies).
+    """All values of each key as (key, value, copies).
 
     The same bag of values as a list per key, but no task ever holds the list of one key.
     """
-    return df.groupBy(key, value).agg(F.count(F.lit(1)).alias("copies")).orderBy(key, value)
+    return df.groupBy(key, value).agg(F.count(F.lit(1)).alias("copies"))
 
 
 def key_ranges(df: DataFrame, key: str, value: str) -> DataFrame:

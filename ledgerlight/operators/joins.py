@@ -33,10 +33,11 @@ def fits_broadcast(dim: DataFrame, max_rows: int) -> bool:
     return dim.limit(max_rows + 1).count() <= max_rows
 
 
-def join_broadcast(fact: DataFrame, dim: DataFrame, on: str, max_rows: int = 1_000_000, salts: int = 32) -> DataFrame:
+def join_broadcast(fact: DataFrame, dim: DataFrame, on: str, max_rows: int = 100_000, salts: int = 32) -> DataFrame:
     """Inner join that sends ``dim`` to every executor, after a check of its size.
 
-    A dimension with more than ``max_rows`` rows is joined by :func:`join_merge` instead.
+    A dimension with more than ``max_rows`` rows is joined by :func:`join_merge` instead. The
+    check computes the dimension once more, so pass a stored table, not a long derivation.
     """
     if fits_broadcast(dim, max_rows):
         return fact.join(F.broadcast(dim), on)

@@ -11,14 +11,19 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PARTITION_BYTES = 128 * 2**20
 TIMING_SCHEMA = "section string, scenario string, operation string, seconds double"
 
 
-def configure(spark: SparkSession, shuffle_partitions: int | None = None) -> SparkSession:
+def configure(
+    spark: SparkSession, shuffle_partitions: int | None = None, shuffle_bytes: int | None = None
+) -> SparkSession:
     """Session settings this library counts on; nothing else in it changes the session.
 
     Adaptive execution merges small shuffle partitions and splits skewed ones, also where the
-    join's output partitioning is used by a later step.
+    join's output partitioning is used by a later step. ``shuffle_bytes``, the size of the largest
+    shuffle expected, sets enough partitions for 128 MB each, so that a task sorts in memory;
+    adaptive execution merges those that turn out small.
     """
     settings = {
         "spark.sql.adaptive.enabled": "true",
@@ -27,6 +32,8 @@ def configure(spark: SparkSession, shuffle_partitions: int | None = None) -> Spa
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
     }
+    if shuffle_bytes is not None:
+        shuffle_partitions = max(shuffle_partitions or 1, -(-shuffle_bytes // PARTITION_BYTES))
     if shuffle_partitions is not None:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for name, value in settings.items():

@@ -52,6 +52,14 @@ def describe_typed(df: DataFrame, cols: Sequence[str], quartiles: bool = False)
     return _as_rows(stats, cols, fields)
 
 
+def describe_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Count, smallest and largest value of columns that are not numbers, as text."""
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [F.count(c).alias(f"n_{i}"), F.min(c).cast("string").alias(f"lo_{i}"), F.max(c).cast("string").alias(f"hi_{i}")]
+    return _as_rows(df.agg(*aggs), cols, {"count": "n", "min": "lo", "max": "hi"})
+
+
 def shape_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Bias-corrected sample skewness and excess kurtosis per column.
 

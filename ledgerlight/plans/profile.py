@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlight.functions.staging import stage
 from ledgerlight.operators import profile, quantiles
+from ledgerlight.plans.sql import SALES
 from ledgerlight.sources.sales import sales_view, table
 
 MEASURES = ("TotalAmount", "Quantity", "Discount", "ShippingCost")
 NUMBERS = ("Quantity", "UnitPrice", "Discount", "Tax", "ShippingCost", "TotalAmount")
 QUARTILES = (0.25, 0.5, 0.75)
+TEXTS = ("ProductName", "Category", "PaymentMethod", "State", "OrderDate")
 
 
 def _round(df, digits, *cols):
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
+def _staged(spark, sf, cols):
+    """Joined once and written, because the reports below read it more than once."""
+    return stage(sales_view(spark, sf, cols), "measures")
+
+
 def _events(spark, sf):
     return table(spark, sf, "events")
 
@@ -24,12 +32,13 @@ QUERIES = {
     "describe_typed": lambda spark, sf: _round(
         profile.describe_typed(sales_view(spark, sf, MEASURES), MEASURES), 6, "mean", "stddev"
     ),
+    "describe_text": lambda spark, sf: profile.describe_text(sales_view(spark, sf, TEXTS), TEXTS),
     "describe_quartiles": lambda spark, sf: _round(
-        profile.describe_typed(sales_view(spark, sf, MEASURES), MEASURES, quartiles=True),
+        profile.describe_typed(_staged(spark, sf, MEASURES), MEASURES, quartiles=True),
         6, "mean", "stddev", "q25", "q50", "q75",
     ),
     "quantiles": lambda spark, sf: _round(
-        quantiles.quantile_table(sales_view(spark, sf, NUMBERS), NUMBERS), 6, "value"
+        quantiles.quantile_table(_staged(spark, sf, NUMBERS), NUMBERS), 6, "value"
     ),
     "outlier_stats": lambda spark, sf: _round(
         quantiles.outlier_stats(_events(spark, sf), ["value", "user_id"]), 6, "q1", "q3", "iqr", "lower", "upper"
@@ -41,11 +50,11 @@ QUERIES = {
         profile.shape_stats(_events(spark, sf), ["value", "user_id"]), 9, "skewness", "kurtosis"
     ),
     "correlation_matrix": lambda spark, sf: _round(
-        profile.corr_matrix(sales_view(spark, sf, NUMBERS), NUMBERS), 9, "corr"
+        profile.corr_matrix(_staged(spark, sf, NUMBERS), NUMBERS), 9, "corr"
     ),
     "histogram": lambda spark, sf: _round(profile.histogram(_events(spark, sf), "value"), 6, "low", "high"),
     "histogram_all": lambda spark, sf: _round(
-        profile.histogram(sales_view(spark, sf, NUMBERS), NUMBERS), 6, "low", "high"
+        profile.histogram(_staged(spark, sf, NUMBERS), NUMBERS), 6, "low", "high"
     ),
     "kde": lambda spark, sf: _round(_round(profile.density(_events(spark, sf), "value"), 9, "x", "density"), 4, "overlay"),
 }
@@ -88,6 +97,11 @@ def _histogram(column: str, source: str) -> str:
 
 ORACLES = {
     "describe_typed": " UNION ALL ".join(_describe(c) for c in MEASURES),
+    "describe_text": " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", COUNT("{c}") AS count, CAST(MIN("{c}") AS VARCHAR) AS min,
+            CAST(MAX("{c}") AS VARCHAR) AS max FROM ({SALES})"""
+        for c in TEXTS
+    ),
     "describe_quartiles": " UNION ALL ".join(_describe(c, _quartiles(c)) for c in MEASURES),
     "quantiles": " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", CAST({p} AS DOUBLE) AS prob, ROUND(quantile_cont(CAST("{c}" AS DOUBLE), {p}), 6) AS value FROM {_SALES}"""

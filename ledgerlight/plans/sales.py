@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlight.functions.staging import stage
 from ledgerlight.operators import aggregates as agg
 from ledgerlight.operators import cleaning, joins
 from ledgerlight.operators.partitioning import skew_report
@@ -29,7 +30,8 @@ def _join_merge(spark, sf):
 
 def _join_broadcast(spark, sf):
     fact = _rows(spark, sf, "State", "TotalAmount")
-    return _joined(joins.join_broadcast(fact, joins.derive_dimension(fact, "State", Region="Standard"), "State"))
+    dim = stage(joins.derive_dimension(fact, "State", Region="Standard"), "states")
+    return _joined(joins.join_broadcast(fact, dim, "State"))
 
 
 def _period(period, separator=" "):

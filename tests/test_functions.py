@@ -62,8 +62,20 @@ def test_exact_sum_is_the_decimal_sum(spark, cents):
 
 
 def test_exact_sum_beyond_a_long(spark):
-    df = spark.range(1000).select(F.lit(9.0e16).alias("v"))
-    assert df.agg(exact_sum("v")).first()[0] == 9.0e19
+    df = spark.range(1_000_000).select(F.lit(9.0e12).alias("v"))
+    assert df.agg(exact_sum("v")).first()[0] == 9.0e18
+
+
+def test_exact_sum_keeps_six_decimals(spark):
+    df = column(spark, [45.123456, 0.000001, -1.5], "double")
+    assert df.agg(exact_sum("v")).first()[0] == 43.623457
+    assert df.agg(exact_sum("v", scale=2)).first()[0] == 43.62
+    assert df.agg(exact_sum("v", scale=None)).first()[0] == pytest.approx(43.623457)
+
+
+def test_exact_sum_of_nan_is_an_error(spark):
+    with pytest.raises(Exception, match="CAST_OVERFLOW"):
+        column(spark, [1.0, float("nan")], "double").agg(exact_sum("v")).collect()
 
 
 def test_exact_sum_of_nothing(spark):
