@@ -25,6 +25,11 @@ def top_rows(df: DataFrame, by: str, ties: Sequence[str], n: int) -> DataFrame:
     return df.orderBy(F.desc(by), *ties).limit(n)
 
 
+def first_rows(df: DataFrame, n: int, order_by: Sequence[str | Column]) -> DataFrame:
+    """The first ``n`` rows in an explicit order, for inspection; a frame has no order of its own."""
+    return df.orderBy(*order_by).limit(n)
+
+
 def revenue_by(
     df: DataFrame,
     keys: str | Sequence[str],

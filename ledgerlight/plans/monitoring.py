@@ -26,9 +26,9 @@ def _rounded(df):
 
 
 def _drift(spark, sf):
-    scored = _scored(spark, sf).withColumn("month", period_label("OrderDate", "month"))
+    scored = _scored(spark, sf).withColumn("month", F.trunc("OrderDate", "month"))
     metrics = quality.regression_metrics(scored, "TotalAmount", "prediction", ["month"])
-    return quality.drift(metrics.select("month", "rows", "rmse"), "month")
+    return quality.drift(metrics.select(period_label("month", "month").alias("month"), "rows", "rmse"), "month")
 
 
 def _quality(spark, sf):
