@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlight.functions.staging import stage
 from ledgerlight.sources.readers import read_table, require_scheme
 from ledgerlight.sources.schemas import MANIFEST
 
@@ -37,11 +38,14 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_report(df: DataFrame, path: str, max_rows: int = 100_000) -> bool:
     """Write a result as one CSV file if it has at most ``max_rows`` rows, else as several.
 
-    Returns whether a single file was written. ``repartition(1)`` moves only the result rows to
-    one task; ``coalesce(1)`` would run the steps that compute them there too.
+    Returns whether a single file was written; it keeps the order of ``df``. The result is
+    computed once, in as many tasks as it needs, and stored; only the stored rows move to one
+    task. ``coalesce(1)`` on the result itself would run its last steps there too.
     """
-    single = df.limit(max_rows + 1).count() <= max_rows
-    write_csv(df.repartition(1) if single else df, path)
+    stored = stage(df.withColumn("_row", F.monotonically_increasing_id()), "report")
+    single = stored.count() <= max_rows
+    rows = stored.repartition(1).sortWithinPartitions("_row") if single else stored
+    write_csv(rows.drop("_row"), path)
     return single
 
 

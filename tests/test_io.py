@@ -83,6 +83,13 @@ def test_report_is_one_file_only_when_small(spark, tmp_path):
     assert readers.read_csv(spark, uri(tmp_path / "large")).count() == 100
 
 
+def test_report_keeps_its_order(spark, tmp_path):
+    df = spark.range(0, 2000, 1, 8).orderBy(F.desc("id"))
+    sinks.write_report(df, uri(tmp_path / "r"))
+    (file,) = (tmp_path / "r").glob("*.csv")
+    assert file.read_text().split() == ["id", *map(str, range(1999, -1, -1))]
+
+
 def test_manifest_round_trip(spark, tmp_path):
     health = spark.sql("SELECT 12.34567D AS rmse, 0.98765D AS r2, 'HEALTHY' AS status, false AS action_required")
     path = uri(tmp_path / "logs")
