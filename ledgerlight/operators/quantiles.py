@@ -30,6 +30,7 @@ from ledgerlight.functions.columns import finite_or_null
 _PER_OCTAVE = 64
 _MAX_BUCKET = 70_000  # 64 * 1075 octaves of a double, plus room for infinity
 _BINS = 4_096
+_COLUMNS = 16  # columns per search
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -65,6 +66,9 @@ def exact_quantiles(
     ``len(cols) * len(probs)`` numbers. A column without values gives nulls.
     """
     cols = list(dict.fromkeys(cols))
+    if len(cols) > _COLUMNS:  # keeps the generated expressions of a pass small
+        rest = exact_quantiles(df, cols[_COLUMNS:], probs)
+        return exact_quantiles(df, cols[:_COLUMNS], probs) | rest
     long = _long_form(df, cols)
     buckets = (
         long.groupBy("pos", _log_bucket(F.col("v")).alias("bucket"))

@@ -117,15 +117,18 @@ def test_layers_and_schemes():
     assert readers.require_scheme("file:/models/a") == "file:/models/a"
 
 
-def test_stream_takes_in_each_file_once(spark, tmp_path):
-    order_file(tmp_path / "in", "1.csv", GOOD.format("a", 1, 10), GOOD.format("b", 2, -20), GOOD.format("x", 1, ""), GOOD.format("far", 1, 9999))
+def test_stream_takes_in_each_order_once(spark, tmp_path):
+    order_file(tmp_path / "in", "1.csv", GOOD.format("a", 5, 10), GOOD.format("b", 6, -20), GOOD.format("x", 5, ""), GOOD.format("far", 5, 9999))
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
 
-    def run():
-        clean = ingest.clean_stream(ingest.order_stream(spark, str(tmp_path / "in")), OrderRules(), bounds=(0, 100))
-        ingest.start_ingest(clean, out, state).awaitTermination(120)
+    def run(checkpoint):
+        raw = ingest.order_stream(spark, str(tmp_path / "in"))
+        ingest.start_ingest(raw, out, checkpoint, OrderRules(), bounds=(0, 100)).awaitTermination(120)
         return sorted((r.OrderID, r.TotalAmount, r.Tax) for r in spark.read.parquet(out).collect())
 
-    assert run() == [("a", 10.0, 0.0), ("b", 20.0, 0.0)]
-    order_file(tmp_path / "in", "2.csv", GOOD.format("a", 1, 10), GOOD.format("c", 3, 30))
-    assert run() == [("a", 10.0, 0.0), ("b", 20.0, 0.0), ("c", 30.0, 0.0)]
+    assert run(state) == [("a", 10.0, 0.0), ("b", 20.0, 0.0)]
+    late = GOOD.format("old", 1, 40).replace("2024", "1999")
+    order_file(tmp_path / "in", "2.csv", GOOD.format("a", 5, 10), GOOD.format("c", 7, 30), GOOD.format("c", 7, 30), late)
+    whole = [("a", 10.0, 0.0), ("b", 20.0, 0.0), ("c", 30.0, 0.0), ("old", 40.0, 0.0)]
+    assert run(state) == whole
+    assert run(str(tmp_path / "lost")) == whole  # all files again, nothing twice

@@ -49,6 +49,19 @@ def test_quantiles_match_numpy(spark, kind):
     np.testing.assert_allclose(got, np.quantile(data, probs), rtol=1e-12)
 
 
+def test_quantiles_of_many_columns(spark):
+    data = {f"c{i}": [i, i + 1, i + 5] for i in range(18)}
+    got = quantiles.exact_quantiles(frame(spark, **data), list(data), [0.5])
+    assert got == {f"c{i}": [i + 1.0] for i in range(18)}
+
+
+def test_approximate_bounds_are_within_their_rank_error(spark):
+    df = frame(spark, x=range(1001))
+    found = quantiles.iqr_bounds(df, ["x"], rel_err=0.05)["x"]
+    assert abs(found["q1"] - 250) <= 50 and abs(found["q3"] - 750) <= 50
+    assert quantiles.iqr_bounds(frame(spark, x=[None]), ["x"], rel_err=0.05)["x"]["q1"] is None
+
+
 def test_quantiles_skip_nan_and_read_one_column(spark, sf):
     df = frame(spark, x=[1, 2, float("nan"), 3], y=[1, 1, 1, 1])
     assert quantiles.exact_quantiles(df, ["x", "y"], [0.5]) == {"x": [2.0], "y": [1.0]}
