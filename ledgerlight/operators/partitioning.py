@@ -92,9 +92,9 @@ def skew_report(df: DataFrame, key: str, top: int = 5) -> DataFrame:
     )
 
 
-def timed(operation: Callable[[], object], runs: int = 3) -> tuple[object, float]:
+def timed(operation: Callable[[], object], runs: int = 3, warm_up: bool = True) -> tuple[object, float]:
     """Run an action once to warm up, then ``runs`` times: its result and the median seconds."""
-    result = operation()
+    result = operation() if warm_up else None
     seconds = []
     for _ in range(runs):
         start = time.perf_counter()
