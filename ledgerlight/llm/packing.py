@@ -85,19 +85,22 @@ def tail_lengths(rest: int) -> list[int]:
 
 
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, key, tie, n_tokens, ids): whole texts as IDs and ``end_id``, with their Hilbert key."""
+    """(doc_id, key, tie, n_tokens, ids): whole texts as IDs and ``end_id``, with their Hilbert key.
+
+    IDs take two bytes each where the vocabulary allows, otherwise four.
+    """
     picked = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(doc_id).alias("tie"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens.loaded(tokenizer)
         signs = projection(max(coder.tokenizer.get_vocab_size(), end_id + 1))
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 6 << 20):
                 flat, offsets = coder.ids(part.column("text"))
                 key = hilbert_keys(places(flat, offsets, signs))
                 n = np.diff(offsets)
-                ids = np.insert(flat, offsets[1:], np.uint32(end_id)).astype("<u4", copy=False)
-                ends = np.r_[0, np.cumsum(n + 1)] * 4
+                ids = np.insert(flat, offsets[1:], np.array(end_id, coder.dtype))
+                ends = np.r_[0, np.cumsum(n + 1)] * ids.itemsize
                 cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key), part.column("tie"), pa.array(n + 1), cells], names=["doc_id", "key", "tie", "n_tokens", "ids"])
 
@@ -131,7 +134,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, d
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*pieces), kinds)], names=names)
 
         def piece(doc, data, start, n, tokens_of, at) -> tuple:
-            ids = data[4 * start : 4 * (start + n)]
+            width = len(data) // tokens_of
+            ids = np.frombuffer(data, f"<u{width}", n, width * start).astype("<u4").tobytes()
             return doc, start, n, zlib.crc32(ids), tokens_of, sequence, at, ids if keep_ids else None
 
         done: list[tuple] = []
