@@ -31,6 +31,8 @@ ARC_FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
+# Options of the text writer: archives are read back soon, so compression favours speed.
+_PACKED = {"zlib.compress.level": "BEST_SPEED"}
 ID_HEADER = "X-Archive-Item"
 RECORD_COLUMNS = "item long, url string, stamp string, mime string, payload binary"
 WARC_COLUMNS = "item long, record_id string, record_type string, url string, warc_date string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -193,7 +195,7 @@ def write_arc(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
             yield pa.RecordBatch.from_pydict({"value": out})
 
     path = scratch.new_path(pages.sparkSession, "arc")
-    picked.mapInArrow(records, "value string").write.option("lineSep", "\n").option("compression", codec).option("maxRecordsPerFile", rows + 1).text(path)
+    picked.mapInArrow(records, "value string").write.option("lineSep", "\n").options(**_PACKED, compression=codec).option("maxRecordsPerFile", rows + 1).text(path)
     return path
 
 
@@ -259,7 +261,7 @@ def convert(spark: SparkSession, arc_path: str, min_bytes: int = 0, codec: str =
 
     joined = parsed.join(revisits, ["item", "digest"], "left").select("item", "url", "stamp", "mime", "payload", "refers_to")
     path = scratch.new_path(spark, "warc")
-    joined.mapInArrow(records, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", codec).option("maxRecordsPerFile", rows).text(path)
+    joined.mapInArrow(records, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").options(**_PACKED, compression=codec).option("maxRecordsPerFile", rows).text(path)
     scratch.drop(small, groups, revisits)
     return path
 
