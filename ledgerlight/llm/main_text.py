@@ -177,11 +177,14 @@ def main_text(page: str, weights: dict[str, float], unknown: float = -1.0) -> st
 def learn_weights(pages: DataFrame, html: str = "html", page_id: str = "page_id", sample_pages: int = 2_000) -> dict[str, float]:
     """Tag weights from labelled pages: those that mark their article with an ``article`` element.
 
-    At most ``sample_pages`` of them, those with the smallest hash of the ID and text, are used.
-    That bounds the fit; tags are counted in Spark, and one row per tag name reaches the driver.
+    Pages whose hash falls below ``sample_pages`` / number of pages are used, so about that many or
+    fewer, wherever they lie. That bounds the fit; tags are counted in Spark, and one row per tag
+    name reaches the driver.
     """
-    labelled = pages.select(F.col(html).alias("html"), F.xxhash64(F.lit(7), page_id, html).alias("h")).where(F.col("html").rlike(r"(?i)<article[\s>]"))
-    sample = labelled.orderBy("h").limit(sample_pages).select("html")
+    total = max(1, pages.count())
+    hashed = pages.select(F.col(html).alias("html"), F.xxhash64(F.lit(7), page_id, html).alias("h"))
+    chosen = F.pmod("h", F.lit(1 << 40)) < F.lit(min(1 << 40, (sample_pages << 40) // total))
+    sample = hashed.where(chosen & F.col("html").rlike(r"(?i)<article[\s>]")).select("html")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
