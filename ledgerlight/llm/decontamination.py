@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlight.llm import worker
 from ledgerlight.llm.arrow_text import ragged, slices, utf8
 from ledgerlight.llm.fm_index import FMIndex
 from ledgerlight.llm.rolling import PrefixHashes, mix
@@ -177,6 +178,7 @@ def decontaminate(
         has_marks = "_hits" in source.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker.enter("powers")
             for batch in batches:
                 for part in slices(batch, "_text"):
                     start, end, row, count, hit, found = shard_hits(part, "_text", held.value)

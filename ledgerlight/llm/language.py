@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlight.llm import worker
 from ledgerlight.llm.arrow_text import slices
 
 UNDETERMINED = "und"
@@ -90,6 +91,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", smoothing
     schema = pa.schema([("lang", pa.string()), ("slot", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.enter("language")
         seen: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in slices(batch, "text", BATCH_BYTES):
@@ -153,6 +155,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", *carry: str) ->
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema.fields)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.enter("language")
         m = held.value
         for batch in batches:
             for part in slices(batch, source, BATCH_BYTES):

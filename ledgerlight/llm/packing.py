@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import scratch, tokens
+from ledgerlight.llm import scratch, tokens, worker
 from ledgerlight.llm.arrow_text import slices
 
 DIMENSIONS, BITS = 3, 16
@@ -92,6 +92,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id
     picked = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(doc_id).alias("tie"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.enter("tokens")
         coder = tokens.loaded(tokenizer)
         signs = projection(max(coder.tokenizer.get_vocab_size(), end_id + 1))
         for batch in batches:

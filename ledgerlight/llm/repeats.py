@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import scratch
+from ledgerlight.llm import scratch, worker
 from ledgerlight.llm.arrow_text import longs, ragged, utf8
 from ledgerlight.llm.rolling import PrefixHashes, mix
 from ledgerlight.llm.suffix_sort import first_owner
@@ -41,6 +41,8 @@ from ledgerlight.llm.suffix_sort import first_owner
 WIDTH, GRAM = 50, 24
 SPREAD = WIDTH - GRAM + 1
 HOT_BLOCKS = 128
+#: Text read by one task.
+BUCKET_BYTES = 16 << 20
 _POSITION = 24  # bits of a packed number that hold a position in the block
 
 ANSWER = "block int, owner int, payload binary"
@@ -197,6 +199,7 @@ class Block:
 
 def answer_anchors(table: pa.Table) -> pa.Table:
     """For each block's anchors: 0 one document, 1 several, 2 in at least ``HOT_BLOCKS`` blocks."""
+    worker.enter("powers")
     blocks, payloads = table.column("block").to_pylist(), [x.as_py() for x in table.column("payload")]
     sizes = np.array([len(p) // 7 for p in payloads], np.int64)
     key = np.zeros((int(sizes.sum()), 8), np.uint8)
@@ -220,6 +223,7 @@ def answer_anchors(table: pa.Table) -> pa.Table:
 
 def answer_windows(table: pa.Table) -> pa.Table:
     """For each context a bit per window, for each single window a byte: has an earlier document it too?"""
+    worker.enter("powers")
     fields = [[zstandard.decompress(x.as_py()) for x in table.column(c)] for c in ("counts", "anchors", "docs", "texts", "window_docs", "windows")]
     count, anchor = (np.frombuffer(b"".join(x), np.uint8).astype(np.int64) for x in fields[:2])
     doc = np.frombuffer(b"".join(fields[2]), np.int64)
@@ -276,7 +280,7 @@ def first_copies(rows: DataFrame) -> DataFrame:
     return later
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), block_bytes: int = 2 << 20, owner_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), block_bytes: int = 1 << 20, owner_bytes: int = 4 << 20) -> DataFrame:
     """One row per document: (doc_id, columns ``carry``, n_bytes, n_removed, n_spans, spans, kept, kept_text).
 
     ``spans`` are the maximal removed byte ranges [start, end); ``kept`` the remaining bytes;
@@ -290,8 +294,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *extra)
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    buckets = max(1, min(blocks, -(-total // (16 * block_bytes)) * 2))
-    owners, sorters = max(1, -(-total // (6 * owner_bytes))), max(1, -(-total // owner_bytes))
+    buckets = max(1, min(blocks, -(-total // BUCKET_BYTES)))
+    owners, sorters = max(1, -(-total // (8 * owner_bytes))), max(1, -(-total // owner_bytes))
     base = base.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("block", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(blocks)).cast("int"))
     table = store_blocks(base, blocks, buckets)
     copies = first_copies(table.select("doc_id", "digest").where("doc_id is not null and octet_length(text) >= 50"))
@@ -302,6 +306,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     content = table.select("block", "doc_id", "digest", "text", *extra)
 
     def block_of(rows: pa.Table, answers: pa.Table) -> tuple[Block, list[bytes]]:
+        worker.enter("powers")
         out = {p for o, p in zip(answers.column("owner").to_pylist(), answers.column("payload").to_pylist()) if o == -1}
         order = rows.sort_by([("doc_id", "ascending"), ("digest", "ascending")])
         copy = [f"{d}:{h}".encode() in out for d, h in zip(order.column("doc_id").to_pylist(), order.column("digest").to_pylist())]

@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import numpy as np
 
+from ledgerlight.llm import worker
+
 #: Odd multiplier, so that its powers can be divided out again. A fixed value.
 BASE = 0x9E3779B97F4A7C15
 _WORD = 1 << 64
-_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 to base**(n - 1)."""
-    known = _POWERS.get(base)
+    remembered = worker.table("powers")
+    known = remembered.get(base)
     if known is None or len(known) < n:
         known, k = np.ones(max(n, 1 << 16), np.uint64), 1
         while k < len(known):
             m = min(k, len(known) - k)
             known[k : k + m] = known[:m] * np.uint64(pow(base, k, _WORD))
             k += m
-        _POWERS[base] = known
+        remembered[base] = known
     return known[:n]
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import golay, scratch
+from ledgerlight.llm import golay, scratch, worker
 from ledgerlight.llm.arrow_text import slices
 from ledgerlight.llm.components import connected_components
 
@@ -78,8 +78,9 @@ def fingerprint_documents(docs: DataFrame, shingle: int, doc_id: str = "doc_id",
     picked = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.enter("simhash")
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(part.column("text").to_pylist(), shingle).view(np.int64))], names=["doc_id", "fp"])
 
     return picked.mapInArrow(run, "doc_id long, fp long")
@@ -89,6 +90,7 @@ def near_links(prints: DataFrame) -> DataFrame:
     """(u, v): all pairs of distinct fingerprints ``fp`` with at most three different bits, u < v."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.enter("simhash")
         kind = pa.list_(pa.int32())
         for batch in batches:
             for at in range(0, batch.num_rows, 5_000):

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ledgerlight.llm import worker
 from ledgerlight.llm.arrow_text import ragged
 
 #: Words of a generation kept per Python worker. The last two generations are known; a word that is
@@ -127,11 +128,9 @@ class WordTokens:
         return flat, total[ends - ends[0]]
 
 
-_LOADED: dict[str, WordTokens] = {}
-
-
 def loaded(path: str) -> WordTokens:
     """The tokenizer of this worker, read once."""
-    if path not in _LOADED:
-        _LOADED[path] = WordTokens(path)
-    return _LOADED[path]
+    known = worker.table("tokens")
+    if path not in known:
+        known[path] = WordTokens(path)
+    return known[path]
