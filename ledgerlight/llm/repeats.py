@@ -197,8 +197,8 @@ class Block:
         return flags
 
 
-def answer_anchors(table: pa.Table) -> pa.Table:
-    """For each block's anchors: 0 one document, 1 several, 2 in at least ``HOT_BLOCKS`` blocks."""
+def answer_anchors(table: pa.Table, hot_blocks: int) -> pa.Table:
+    """For each block's anchors: 0 one document, 1 several, 2 in at least ``hot_blocks`` blocks."""
     worker.enter("powers")
     blocks, payloads = table.column("block").to_pylist(), [x.as_py() for x in table.column("payload")]
     sizes = np.array([len(p) // 7 for p in payloads], np.int64)
@@ -214,7 +214,7 @@ def answer_anchors(table: pa.Table) -> pa.Table:
     head = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
     size = np.diff(np.r_[head, len(key)])
     shared = (size > 1) | np.logical_or.reduceat(several[order], head)
-    code = np.where(size >= HOT_BLOCKS, 2, shared).astype(np.uint8)
+    code = np.where(size >= hot_blocks, 2, shared).astype(np.uint8)
     out = np.empty(len(key), np.uint8)
     out[order] = np.repeat(code, size)
     owner = table.column("owner")[0].as_py()
@@ -280,7 +280,7 @@ def first_copies(rows: DataFrame) -> DataFrame:
     return later
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), block_bytes: int = 1 << 20, owner_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), block_bytes: int = 1 << 20, owner_bytes: int = 4 << 20, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """One row per document: (doc_id, columns ``carry``, n_bytes, n_removed, n_spans, spans, kept, kept_text).
 
     ``spans`` are the maximal removed byte ranges [start, end); ``kept`` the remaining bytes;
@@ -370,7 +370,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     by_block = content.groupBy("block")
     asked = by_block.cogroup(left_out.groupBy("block")).applyInArrow(ask_anchors, "owner int, block int, payload binary")
-    shared = scratch.keep(asked.groupBy("owner").applyInArrow(answer_anchors, ANSWER), "anchor-answers")
+    shared = scratch.keep(asked.groupBy("owner").applyInArrow(lambda rows: answer_anchors(rows, hot_blocks), ANSWER), "anchor-answers")
     answers = left_out.unionByName(with_stage(shared, 1))
     request = "owner int, block int, counts binary, anchors binary, docs binary, texts binary, window_docs binary, windows binary"
     asked = by_block.cogroup(answers.groupBy("block")).applyInArrow(ask_windows, request)
