@@ -9,14 +9,13 @@ from ledgerlight.functions.columns import (
     period_label,
     strip,
 )
-from ledgerlight.functions.sums import exact_average, exact_sum, exact_total
+from ledgerlight.functions.sums import exact_average, exact_sum
 
 __all__ = [
     "calendar_fields",
     "categorical_columns",
     "exact_average",
     "exact_sum",
-    "exact_total",
     "hash_bucket",
     "is_blank",
     "numeric_columns",

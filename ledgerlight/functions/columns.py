@@ -77,7 +77,10 @@ def hash_bucket(keys: Sequence[str | Column], seed: int) -> Column:
     lost executor, a repartition or another cluster size gives the same sample. md5 rather
     than xxhash64 so that any SQL engine can repeat it.
     """
-    text = F.concat_ws("|", *[_col(k).cast("string") for k in keys], F.lit(str(seed)))
+    parts = [_col(k).cast("string") for k in keys]
+    # Lengths and a mark for null, so that different keys never give the same text.
+    marked = [F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts]
+    text = F.concat_ws("|", *marked, F.lit(str(seed)))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 

@@ -11,25 +11,57 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: list[str] = []
+_STAGED: list[tuple[SparkSession, str]] = []
+
+
 def staging_folder(spark: SparkSession) -> str:
     """The shared folder the session names; a temporary one only on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="ledgerlight-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="ledgerlight-"))
+    return _LOCAL[0]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and return the table read back."""
+    """Write ``df`` as Parquet under the shared folder and return the table read back.
+
+    The copy stays until :func:`release`, because the result is read later.
+    """
     spark = df.sparkSession
     path = f"{staging_folder(spark)}/ledgerlight/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staged_paths() -> list[str]:
+    """Folders of all copies that have not been released."""
+    return [path for _, path in _STAGED]
+
+
+def release(since: int = 0) -> None:
+    """Delete the copies made after the first ``since`` ones; frames that read them become unreadable."""
+    while len(_STAGED) > since:
+        spark, path = _STAGED.pop()
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+@contextmanager
+def staged():
+    """Delete on leaving what was staged inside."""
+    since = len(_STAGED)
+    try:
+        yield
+    finally:
+        release(since)

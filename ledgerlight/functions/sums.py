@@ -9,9 +9,9 @@ millions of units and the rest. Both run as plain long additions in generated co
 same rows). The parts are put together once per group as a decimal. A group can hold nine trillion
 rows and a total of 9.2e18, so sums over hundreds of terabytes cannot overflow.
 
-Values with up to six decimals below nine billion are added exactly; further decimals are rounded
-away per value. NaN, infinity and values beyond 9.2e12 raise an error; ``scale=None`` gives
-Spark's plain sum for measures that may hold those.
+The scale is the number of decimals a value may have. A group that holds a value with more, one
+too large for its scale (beyond 2^52 units, where a double no longer tells them apart), NaN or infinity gets Spark's plain sum instead: nothing
+is rounded away and nothing raises. ``scale=None`` is the plain sum for all groups.
 """
 
 from __future__ import annotations
@@ -25,30 +25,38 @@ SCALE = 6
 _CHUNK = 1_000_000
 
 
-def _units(c: str | Column, scale: int) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.rint(c * F.lit(float(10**scale))).cast("bigint")
+def _number(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
-def exact_total(c: str | Column, scale: int = SCALE) -> Column:
-    """Exact, order-independent sum of a number with ``scale`` decimals, as a decimal."""
-    units = _units(c, scale)
+def _whole(c: Column, scale: int) -> tuple[Column, Column]:
+    """The value in whole units, and whether the units are the value, up to its last binary digit."""
+    value = c.cast("double")
+    units = F.rint(value * F.lit(float(10**scale)))
+    off = F.abs(units / F.lit(float(10**scale)) - value)
+    fits = (F.abs(units) < F.lit(float(2**52))) & (off <= F.abs(value) * F.lit(2.0**-52))
+    return units, F.coalesce(fits & ~F.isnan(value), c.isNull())
+
+
+def exact_sum(c: str | Column, scale: int | None = SCALE) -> Column:
+    """Sum as a double; exact and independent of order for values of at most ``scale`` decimals."""
+    c = _number(c)
+    if scale is None:
+        return F.sum(c)
+    units, fits = _whole(c, scale)
+    units = F.when(fits, units.cast("bigint"))
     chunk = F.lit(_CHUNK).cast("bigint")
     chunks = F.sum(F.call_function("div", units, chunk)).cast("decimal(20,0)")
     rest = F.sum(units % chunk).cast("decimal(20,0)")
     total = chunks * F.lit(Decimal(_CHUNK)) + rest
     if scale:
         total = total * F.lit(Decimal(1).scaleb(-scale))
-    return total.cast(f"decimal(38,{scale})")
-
-
-def exact_sum(c: str | Column, scale: int | None = SCALE) -> Column:
-    """:func:`exact_total` as a double; ``scale=None`` gives Spark's plain ``sum``."""
-    return F.sum(c) if scale is None else exact_total(c, scale).cast("double")
+    exact = total.cast(f"decimal(38,{scale})").cast("double")
+    return F.when(F.min(fits), exact).otherwise(F.sum(c.cast("double")))
 
 
 def exact_average(c: str | Column, scale: int | None = SCALE) -> Column:
-    """Exact sum divided by the number of non-null values; null for an empty group."""
+    """:func:`exact_sum` divided by the number of non-null values; null for an empty group."""
     if scale is None:
         return F.avg(c)
     return F.try_divide(exact_sum(c, scale), F.count(c))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.columns import period_label
-from ledgerlight.functions.sums import SCALE, exact_average, exact_sum, exact_total
+from ledgerlight.functions.sums import SCALE, exact_average, exact_sum
 
 
 def _names(keys: str | Sequence[str]) -> list[str]:
@@ -166,7 +166,7 @@ def key_averages(df: DataFrame, key: str, value: str, digits: int = 2) -> DataFr
 def key_partials(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, total, count): partial results that can be stored, united and merged later."""
     return df.groupBy(key).agg(
-        exact_total(value).alias("total"), F.count(value).alias("count")
+        exact_sum(value).alias("total"), F.count(value).alias("count")
     )
 
 

@@ -28,17 +28,18 @@ def join_merge(fact: DataFrame, dim: DataFrame, on: str, salts: int = 1) -> Data
     return fact.withColumn("_salt", spread).join(copies.hint("merge"), [on, "_salt"]).drop("_salt")
 
 
-def fits_broadcast(dim: DataFrame, max_rows: int) -> bool:
-    """Whether ``dim`` has at most ``max_rows`` rows; reads no more than one row beyond that."""
-    return dim.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(dim: DataFrame, max_bytes: int) -> bool:
+    """Whether the rows of ``dim``, written as text, take at most ``max_bytes`` bytes."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in dim.columns])))
+    return (dim.agg(F.sum(size)).first()[0] or 0) <= max_bytes
 
 
-def join_broadcast(fact: DataFrame, dim: DataFrame, on: str, max_rows: int = 100_000, salts: int = 32) -> DataFrame:
-    """Inner join that sends ``dim`` to every executor, after a check of its size.
+def join_broadcast(fact: DataFrame, dim: DataFrame, on: str, max_bytes: int = 64 << 20, salts: int = 32) -> DataFrame:
+    """Inner join that sends ``dim`` to every executor, after a check of its size in bytes.
 
-    A dimension with more than ``max_rows`` rows is joined by :func:`join_merge` instead. The
-    check computes the dimension once more, so pass a stored table, not a long derivation.
+    A larger dimension is joined by :func:`join_merge` instead; both give the same rows. The check
+    reads the dimension once more, so pass a stored table, not a long derivation.
     """
-    if fits_broadcast(dim, max_rows):
+    if fits_broadcast(dim, max_bytes):
         return fact.join(F.broadcast(dim), on)
     return join_merge(fact, dim, on, salts)

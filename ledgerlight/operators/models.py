@@ -17,21 +17,30 @@ from ledgerlight.operators.partitioning import hold, release
 from ledgerlight.operators.quality import regression_metrics
 from ledgerlight.operators.series import lag_features
 
+# Column names, feature lists and estimators that data files and records refer to.
 FEATURES = ("Quantity", "Discount", "Tax", "ShippingCost", "Month", "DayOfWeek")
 SCORING_COLUMNS = ("OrderDate", "Quantity", "Discount", "Tax", "ShippingCost")
 
 
 def add_features(df: DataFrame, date: str = "OrderDate", label: str | None = "TotalAmount") -> DataFrame:
-    """Model inputs from order rows: doubles, month and day of week, nulls as 0.
+    """Model inputs from order rows: doubles, month and day of week, null inputs as 0.
 
     Training and scoring both use this function, so the two cannot differ. The label is carried
-    along if it is there.
+    along if it is there; a missing one stays null. :func:`input_report` counts inputs that are
+    text but no number.
     """
     df = parse_date(require_columns(df, SCORING_COLUMNS), date)
     numbers = [c for c in (*SCORING_COLUMNS[1:], label) if c in df.columns]
     df = df.withColumns({c: F.col(c).try_cast("double") for c in numbers})
     df = df.withColumns({"Month": F.month(date), "DayOfWeek": F.dayofweek(date)})
-    return fill_missing(df, dict.fromkeys([*numbers, "Month", "DayOfWeek"], 0))
+    return fill_missing(df, dict.fromkeys([*(c for c in numbers if c != label), "Month", "DayOfWeek"], 0))
+
+
+def input_report(df: DataFrame, label: str = "TotalAmount") -> DataFrame:
+    """One row: number of rows, and per input the values that are there but cannot be read."""
+    cols = [c for c in (*SCORING_COLUMNS[1:], label) if c in df.columns]
+    unread = [F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(f"unread_{c}") for c in cols]
+    return df.agg(F.count(F.lit(1)).alias("rows"), *unread)
 
 
 def demand_features(
@@ -43,17 +52,16 @@ def demand_features(
     return daily.withColumns(calendar_fields("order_date"))
 
 
-def category_stages(df: DataFrame, cols: Sequence[str], max_values: int = 10_000, buckets: int = 2**18) -> list:
+def category_stages(cols: Sequence[str], hashed: Sequence[str] = (), buckets: int = 2**18) -> list:
     """Pipeline stages that turn category columns into vectors named ``<col>_vec``.
 
-    A column with up to ``max_values`` values gets an index and a one-hot vector; unseen values
-    have a place of their own. Indexing keeps all values on the driver, so a column with more
-    values is hashed into ``buckets`` positions instead.
+    A column gets an index and a one-hot vector; unseen values have a place of their own. Indexing
+    keeps all values on the driver, so name columns whose values grow with the data in ``hashed``:
+    they get one of ``buckets`` positions.
     """
-    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
     stages = []
     for c in cols:
-        if sizes[c] <= max_values:
+        if c not in hashed:
             stages += [
                 StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep", stringOrderType="alphabetAsc"),
                 OneHotEncoder(inputCol=f"{c}_idx", outputCol=f"{c}_vec", handleInvalid="keep"),
@@ -65,13 +73,13 @@ def category_stages(df: DataFrame, cols: Sequence[str], max_values: int = 10_000
     return stages
 
 
-def demand_pipeline(df: DataFrame, keys: Sequence[str] = ("ProductID", "State"), **options) -> Pipeline:
-    """Pipeline from :func:`demand_features` rows to a ``features`` vector."""
+def demand_pipeline(keys: Sequence[str] = ("ProductID", "State"), hashed: Sequence[str] = ("ProductID",), **options) -> Pipeline:
+    """Pipeline from :func:`demand_features` rows to a ``features`` vector; products are hashed."""
     numbers = ["day_of_month", "day_of_week", "month", "year", "week_of_year", "lag_1_day_qty"]
     assembler = VectorAssembler(
         inputCols=[*numbers, *[f"{k}_vec" for k in keys]], outputCol="features", handleInvalid="keep"
     )
-    return Pipeline(stages=[*category_stages(df, keys, **options), assembler])
+    return Pipeline(stages=[*category_stages(keys, hashed, **options), assembler])
 
 
 def default_models(label: str = "TotalAmount", features: str = "scaledFeatures", seed: int = 42) -> dict[str, Estimator]:
@@ -98,6 +106,7 @@ def train_all(
     one pass over the test rows.
     """
     models = dict(models or default_models(label))
+    train = train.where(F.col(label).isNotNull())
     prepare = Pipeline(
         stages=[
             VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error"),

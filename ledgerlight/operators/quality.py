@@ -90,6 +90,12 @@ def drift(metrics: DataFrame, period: str, metric: str = "rmse") -> DataFrame:
     )
 
 
-def alerts(drifted: DataFrame, max_change: float = 0.1) -> DataFrame:
-    """Add ``alert``: the metric is worse than its baseline by more than ``max_change``."""
-    return drifted.withColumn("alert", F.coalesce(F.col("change_from_baseline") > max_change, F.lit(False)))
+def alerts(drifted: DataFrame, max_change: float = 0.1, worse: str = "higher") -> DataFrame:
+    """Add ``alert``: the metric is worse than its baseline by more than ``max_change``.
+
+    ``worse`` says which way that is: ``higher`` for errors, ``lower`` for r2.
+    """
+    if worse not in ("higher", "lower"):
+        raise ValueError(f"worse is higher or lower, not {worse!r}")
+    change = F.col("change_from_baseline")
+    return drifted.withColumn("alert", F.coalesce((change if worse == "higher" else -change) > max_change, F.lit(False)))

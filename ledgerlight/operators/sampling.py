@@ -26,11 +26,11 @@ def hash_fraction(df: DataFrame, key: Sequence[str], fraction: float, seed: int
 def hash_split(
     df: DataFrame, key: Sequence[str], frac: float = 0.8, seed: int = 42, name: str = "is_train"
 ) -> DataFrame:
-    """Mark about ``frac`` of the keys as training rows, in whole per cent.
+    """Mark about ``frac`` of the keys as training rows.
 
     All rows of a key fall on the same side. No shuffle.
     """
-    return df.withColumn(name, hash_bucket(key, seed) % 100 < round(frac * 100))
+    return df.withColumn(name, hash_bucket(key, seed) < int(frac * _RANGE))
 
 
 def split(df: DataFrame, key: Sequence[str], frac: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -39,26 +39,21 @@ def split(df: DataFrame, key: Sequence[str], frac: float = 0.8, seed: int = 42)
     return marked.filter("_train").drop("_train"), marked.filter("NOT _train").drop("_train")
 
 
-def hash_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42, max_sorted: int = 100_000) -> DataFrame:
+def hash_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """Exactly ``min(n, rows)`` rows: those with the smallest key hash, in no particular order.
 
     ``key`` should identify a row; rows with equal hashes are ordered by the key.
 
     A plain ``orderBy(hash).limit(n)`` sends ``n`` rows of every input partition to one task. Here
-    a count per hash range (65,536 rows at most) finds the range that holds the n-th row. Only
-    rows up to that range are sorted, or, for more than ``max_sorted`` rows, only those in it: the
-    rows of all smaller ranges belong to the sample as they are.
+    a count per hash range (65,536 rows at most) finds the range that holds the n-th row. Only the
+    rows of that range are sorted: those of all smaller ranges belong to the sample as they are.
     """
     hashed = df.withColumn("_hash", hash_bucket(key, seed))
     step = F.floor(F.col("_hash") / (_RANGE // _STEPS))
     counts = hashed.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
     # No partition: at most 65,536 rows.
     upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("step")))
-    reached = upto.filter(F.col("upto") >= n)
-    if n <= max_sorted:
-        limit = reached.agg(F.coalesce(F.min("step"), F.lit(_STEPS))).scalar()
-        return hashed.filter(step <= limit).orderBy("_hash", *key).limit(n).drop("_hash")
-    last = reached.orderBy("step").first()
+    last = upto.filter(F.col("upto") >= n).orderBy("step").first()
     if last is None:
         return df
     below = hashed.filter(step < last["step"])

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from ledgerlight.functions.staging import stage, staging_folder
 from ledgerlight.operators import models
 from ledgerlight.operators.cleaning import clean_orders
 from ledgerlight.operators.quality import model_health, regression_metrics
 from ledgerlight.operators.sampling import split
-from ledgerlight.sources.sales import raw_orders, sales_view
+from ledgerlight.sources.readers import load_model
+from ledgerlight.sources.sales import raw_orders, sales_view, table
+from ledgerlight.sources.sinks import save_model
 
 
 def _orders(spark, sf):
@@ -45,14 +51,34 @@ def _demand(spark, sf):
     daily = models.demand_features(
         sales_view(spark, sf, ["OrderDate", "ProductID", "State", "Quantity", "TotalAmount"])
     ).withColumn("ProductID", F.col("ProductID").cast("string"))
-    train, test = split(daily, ["order_date", "ProductID", "State"])
-    features = models.demand_pipeline(train).fit(train)
-    # Sparse vectors with one position per product: a bounded number of gradient steps instead
-    # of a matrix of all pairs of positions.
-    model = LinearRegression(featuresCol="features", labelCol="daily_quantity", solver="l-bfgs", maxIter=20)
-    fitted = Pipeline(stages=[model]).fit(features.transform(train))
+    # Stored: indexing, every step of the fit and the rating read it.
+    train, test = split(stage(daily, "daily-demand"), ["order_date", "ProductID", "State"])
+    features = models.demand_pipeline().fit(train)
+    # Sparse vectors with many positions: gradient steps instead of a matrix of all their pairs.
+    model = LinearRegression(featuresCol="features", labelCol="daily_quantity", solver="l-bfgs", maxIter=500)
+    fitted = model.fit(features.transform(train))
+    converged = fitted.summary.totalIterations < model.getMaxIter()
     scored = fitted.transform(features.transform(test))
-    return regression_metrics(scored, "daily_quantity", "prediction").withColumn("model", F.lit("Linear_Regression"))
+    return regression_metrics(scored, "daily_quantity", "prediction").withColumns(
+        {"model": F.lit("Linear_Regression"), "converged": F.lit(converged)}
+    )
+
+
+def _line(spark, sf):
+    """A one-feature fit, saved, loaded and scored: what SQL can compute in closed form."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_quantity").alias("Quantity"), F.col("l_extendedprice").alias("TotalAmount"))
+    steps = [VectorAssembler(inputCols=["Quantity"], outputCol="features"), LinearRegression(featuresCol="features", labelCol="TotalAmount", solver="normal")]
+    path = f"{staging_folder(spark)}/ledgerlight/line-{uuid.uuid4().hex}"
+    path = path if ":" in path.split("/", 1)[0] else f"file:{path}"
+    save_model(Pipeline(stages=steps).fit(rows), path)
+    loaded = load_model(path)
+    fit = loaded.stages[-1]
+    metrics = regression_metrics(loaded.transform(rows), "TotalAmount", "prediction")
+    return model_health(metrics, 1e9).select(
+        F.lit(round(fit.coefficients[0], 4)).alias("slope"), F.lit(round(fit.intercept, 4)).alias("intercept"),
+        F.round("rmse", 4).alias("rmse"), F.round("r2", 9).alias("r2"), "status",
+    )
+
 
 
 QUERIES = {
@@ -60,6 +86,13 @@ QUERIES = {
     "score_batch": _score,
     "trained_model_health": _trained_health,
     "demand_model": _demand,
+    "line_fit_saved": _line,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "line_fit_saved": """
+        WITH fit AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem),
+        e AS (SELECT l_extendedprice AS y, l_extendedprice - a - b * l_quantity AS d FROM lineitem, fit)
+        SELECT ROUND(any_value(b), 4) AS slope, ROUND(any_value(a), 4) AS intercept, ROUND(sqrt(AVG(d * d)), 4) AS rmse,
+          ROUND(1 - SUM(d * d) / (VAR_POP(y) * COUNT(*)), 9) AS r2, 'HEALTHY' AS status FROM e, fit""",
+}

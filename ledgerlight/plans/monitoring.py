@@ -25,10 +25,10 @@ def _rounded(df):
     return df.withColumns({c: F.round(c, d) for c, d in (digits | changes).items() if c in df.columns})
 
 
-def _drift(spark, sf):
+def _drift(spark, sf, metric="rmse"):
     scored = _scored(spark, sf).withColumn("month", F.trunc("OrderDate", "month"))
     metrics = quality.regression_metrics(scored, "TotalAmount", "prediction", ["month"])
-    return quality.drift(metrics.select(period_label("month", "month").alias("month"), "rows", "rmse"), "month")
+    return quality.drift(metrics.select(period_label("month", "month").alias("month"), "rows", metric), "month", metric)
 
 
 def _quality(spark, sf):
@@ -54,11 +54,14 @@ QUERIES = {
     ),
     "drift_by_month": lambda spark, sf: _rounded(_drift(spark, sf)),
     "drift_alerts": lambda spark, sf: quality.alerts(_drift(spark, sf)).select("month", "alert"),
+    "drift_alerts_r2": lambda spark, sf: quality.alerts(_drift(spark, sf, "r2"), worse="lower").select("month", "alert"),
     "quality_report": _quality,
-    "partition_counts": lambda spark, sf: partition_counts(table(spark, sf, "orders").repartition(8, "o_orderpriority")),
-    "partition_report": lambda spark, sf: partition_report(
-        table(spark, sf, "orders").repartition(8, "o_orderpriority"), "after_repartition"
+    "partition_counts": lambda spark, sf: partition_counts(table(spark, sf, "orders").repartition(8, "o_orderkey")).agg(
+        F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("partitions")
     ),
+    "partition_report": lambda spark, sf: partition_report(
+        table(spark, sf, "orders").repartition(8, "o_orderkey"), "after_repartition"
+    ).select("label", F.col("count").cast("bigint").alias("partitions")),
 }
 
 _SCORED = f"""(SELECT *, "TotalAmount" AS y, "Quantity" * "UnitPrice" * (1.0::DOUBLE - "Discount") - "TotalAmount" AS e,
@@ -89,6 +92,11 @@ ORACLES = {
          ROUND((rmse - baseline) / baseline, 9) AS change_from_baseline,
          ROUND((rmse - previous) / previous, 9) AS change_from_previous FROM d""",
     "drift_alerts": _DRIFT + "SELECT month, COALESCE((rmse - baseline) / baseline > 0.1, FALSE) AS alert FROM d",
+    "drift_alerts_r2": f"""WITH m AS (SELECT month, 1 - SUM(e * e) / (VAR_POP(y) * COUNT(*)) AS r2 FROM {_SCORED} GROUP BY 1),
+        d AS (SELECT *, first_value(r2) OVER (ORDER BY month) AS baseline FROM m)
+        SELECT month, COALESCE(-(r2 - baseline) / baseline > 0.1, FALSE) AS alert FROM d""",
+    "partition_counts": "SELECT CAST(COUNT(*) AS BIGINT) AS rows, CAST(8 AS BIGINT) AS partitions FROM orders",
+    "partition_report": "SELECT 'after_repartition' AS label, CAST(8 AS BIGINT) AS partitions FROM orders LIMIT 1",
     "quality_report": " UNION ALL ".join(
         f"""SELECT '{name}' AS rule, COUNT(*) AS rows, COUNT(*) FILTER ({test}) AS violations,
             CAST(COUNT(*) FILTER ({test}) AS DOUBLE) / COUNT(*) AS share,

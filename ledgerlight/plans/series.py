@@ -97,7 +97,7 @@ ORACLES = {
         l AS (SELECT date, diff, {", ".join(f"lag(diff, {i}) OVER (ORDER BY date) AS lag_{i}" for i in range(1, 6))} FROM d)
         SELECT date, ROUND(diff, 2) AS diff, {", ".join(f"ROUND(lag_{i}, 2) AS lag_{i}" for i in range(1, 6))}
         FROM l WHERE lag_5 IS NOT NULL""",
-    "hash_split": f"SELECT o_orderkey, {bucket('o_orderkey')} % 100 < 80 AS is_train FROM orders",
+    "hash_split": f"SELECT o_orderkey, {bucket('o_orderkey')} < {int(0.8 * 2**32)} AS is_train FROM orders",
     "hash_sample_n": f"""SELECT o_orderkey, o_totalprice FROM orders
         ORDER BY {bucket('o_orderkey')}, o_orderkey LIMIT 4500""",
     "hash_fraction": f"""SELECT o_orderkey, o_totalprice FROM orders

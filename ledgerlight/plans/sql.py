@@ -52,5 +52,5 @@ def money(column: str) -> str:
 
 def bucket(*keys: str, seed: int = 42) -> str:
     """The key hash of ``hash_bucket``."""
-    text = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    text = ", ".join(f"COALESCE(length(CAST({k} AS VARCHAR)) || ':' || CAST({k} AS VARCHAR), '-')" for k in keys)
     return f"CAST('0x' || substr(md5(concat_ws('|', {text}, '{seed}')), 1, 8) AS BIGINT)"

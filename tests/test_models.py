@@ -79,15 +79,15 @@ def test_scoring_names_missing_columns(spark, trained):
 
 def test_unseen_and_many_categories(spark):
     train = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "c string, y double")
-    for limit in (10, 1):
-        stages = models.category_stages(train, ["c"], max_values=limit, buckets=16)
+    for hashed in ((), ("c",)):
+        stages = models.category_stages(["c"], hashed, buckets=16)
         frame = train
         for stage in stages:
             frame = (stage.fit(frame) if hasattr(stage, "fit") else stage).transform(frame)
         assert "c_vec" in frame.columns
     from pyspark.ml import Pipeline
 
-    fitted = Pipeline(stages=models.category_stages(train, ["c"])).fit(train)
+    fitted = Pipeline(stages=models.category_stages(["c"])).fit(train)
     vectors = [fitted.transform(spark.createDataFrame([(c, 0.0)], "c string, y double")).first().c_vec for c in ("a", "b", "new")]
     assert [list(v.indices) for v in vectors] == [[0], [1], [2]]
 

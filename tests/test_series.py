@@ -112,8 +112,11 @@ def test_sample_has_exactly_n_of_the_smallest_hashes(spark, n):
     got = [r.id for r in sampling.hash_sample(df, ["id"], n).collect()]
     want = [r.id for r in df.withColumn("h", hash_bucket(["id"], 42)).orderBy("h", "id").limit(n).collect()]
     assert sorted(got) == sorted(want) and len(got) == min(n, 2000)
-    large = [r.id for r in sampling.hash_sample(df, ["id"], n, max_sorted=0).collect()]
-    assert sorted(large) == sorted(want)
+
+
+def test_small_fractions_are_not_rounded(spark):
+    df = spark.range(20_000)
+    assert 60 < sampling.split(df, ["id"], 0.005)[0].count() < 140
 
 
 def test_seed_changes_the_sample(spark):
