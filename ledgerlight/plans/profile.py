@@ -59,9 +59,7 @@ QUERIES = {
     "kde": lambda spark, sf: _round(_round(profile.density(_events(spark, sf), "value"), 9, "x", "density"), 4, "overlay"),
 }
 
-_SALES = """(SELECT CAST(l_quantity AS INTEGER) AS "Quantity", p_retailprice AS "UnitPrice", l_discount AS "Discount",
-    l_tax AS "Tax", CAST(p_size AS DOUBLE) AS "ShippingCost", l_extendedprice AS "TotalAmount"
-    FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+_SALES = f"({SALES})"
 
 
 def _describe(column: str, more: str = "") -> str:

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from ledgerlight.functions.staging import staging_folder
-from ledgerlight.sources.sales import sales_view, table
+from ledgerlight.operators.cleaning import unique_orders
+from ledgerlight.plans.sql import UNIQUE
+from ledgerlight.sources.readers import read_csv
+from ledgerlight.sources.sales import raw_orders, sales_view, table
 from ledgerlight.sources.sinks import layer_path, transfer, verify_write, write_csv, write_parquet
 
 _COUNTS = ("expected_rows", "written_rows", "matches")
@@ -35,9 +41,37 @@ def _transferred(spark, sf):
     return spark.read.parquet(path)
 
 
-QUERIES = {"write_verified": _verified_parquet, "write_verified_csv": _verified_csv, "transfer": _transferred}
+def _transferred_csv(spark, sf):
+    """Texts with blanks, quotes and line breaks, through CSV and back."""
+    csv, back = _path(spark, "gold", "documents-csv"), _path(spark, "gold", "documents")
+    schema = table(spark, sf, "documents").schema
+    transfer(spark, f"{sf}/documents.parquet", "parquet", csv, "csv", multi_line=True)
+    transfer(spark, csv, "csv", back, schema=schema, multi_line=True)
+    return spark.read.parquet(back).select("doc_id", "text", "lang")
+
+
+def _transferred_events(spark, sf):
+    """Microseconds through CSV and back."""
+    csv, back = _path(spark, "gold", "events-csv"), _path(spark, "gold", "events")
+    transfer(spark, f"{sf}/events.parquet", "parquet", csv, "csv")
+    transfer(spark, csv, "csv", back, schema=table(spark, sf, "events").schema)
+    return spark.read.parquet(back)
+
+
+def _orders_by_name(spark, sf):
+    """Raw orders written with another column order and one more column, read by their names."""
+    raw, path = raw_orders(spark, sf), _path(spark, "bronze", "orders-csv")
+    write_csv(raw.select(F.lit("extra").alias("CustomerName"), *reversed(raw.columns)), path)
+    wanted = T.StructType([raw.schema[c] for c in raw.columns])
+    return unique_orders(read_csv(spark, path, wanted))
+
+
+QUERIES = {"transfer_csv": _transferred_csv, "transfer_csv_events": _transferred_events, "csv_orders_by_name": _orders_by_name, "write_verified": _verified_parquet, "write_verified_csv": _verified_csv, "transfer": _transferred}
 
 ORACLES = {
+    "transfer_csv": "SELECT doc_id, text, lang FROM documents",
+    "transfer_csv_events": "SELECT * FROM events",
+    "csv_orders_by_name": UNIQUE,
     "write_verified": "SELECT COUNT(*) AS expected_rows, COUNT(*) AS written_rows, TRUE AS matches FROM lineitem",
     "write_verified_csv": "SELECT COUNT(*) AS expected_rows, COUNT(*) AS written_rows, TRUE AS matches FROM orders",
     "transfer": "SELECT * FROM orders",

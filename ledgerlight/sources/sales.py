@@ -59,14 +59,13 @@ def _joined(spark: SparkSession, sf_dir: str, needed: set[str]) -> DataFrame:
 
 
 def sales_view(spark: SparkSession, sf_dir: str, cols: Sequence[str] = ORDER_COLUMNS) -> DataFrame:
-    """Order lines with the wanted columns of the order table.
+    """Order lines that have an order, customer, nation and part, with the wanted columns.
 
-    Only tables that a wanted column comes from are joined: every line has its order, part,
-    customer and nation, so a join that adds no column changes nothing. Spark cannot know that
-    and would keep the join. Spark chooses each join's form by the size of the tables, and
+    All tables are joined whatever the columns, so that every report counts the same lines even
+    where a parent is missing. Spark chooses each join's form by the size of the tables, and
     adaptive execution splits a hot key.
     """
-    df = _joined(spark, sf_dir, {_COLUMNS[c][0] for c in cols})
+    df = _joined(spark, sf_dir, {t for t, _ in _COLUMNS.values()})
     return df.select(*[F.expr(_COLUMNS[c][1]).alias(c) for c in cols])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlight.functions.staging import stage
+from ledgerlight.functions.staging import stage, staged
 from ledgerlight.sources.readers import read_table, require_scheme
 from ledgerlight.sources.schemas import MANIFEST
 
@@ -30,23 +30,33 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Overwrite a CSV table; every task writes its own file, whatever the size."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+#: The text that stands for null in copies that must not lose anything.
+NULL_MARK = "\\N"
+_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
-def write_report(df: DataFrame, path: str, max_rows: int = 100_000) -> bool:
-    """Write a result as one CSV file if it has at most ``max_rows`` rows, else as several.
+def write_csv(df: DataFrame, path: str, null_mark: str = "") -> None:
+    """Overwrite a CSV table; every task writes its own file, whatever the size.
 
-    Returns whether a single file was written; it keeps the order of ``df``. The result is
-    computed once, in as many tasks as it needs, and stored; only the stored rows move to one
-    task. ``coalesce(1)`` on the result itself would run its last steps there too.
+    Blanks, quotes, line breaks and microseconds are kept. Empty text and null differ only if
+    ``null_mark`` is not empty.
     """
-    stored = stage(df.withColumn("_row", F.monotonically_increasing_id()), "report")
-    single = stored.count() <= max_rows
-    rows = stored.repartition(1).sortWithinPartitions("_row") if single else stored
-    write_csv(rows.drop("_row"), path)
-    return single
+    options = {"header": True, "escape": '"', "nullValue": null_mark, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(**options, timestampFormat=_TIME + "XXX", timestampNTZFormat=_TIME).csv(path)
+
+
+def write_report(df: DataFrame, path: str, single_file: bool = True) -> None:
+    """Write a result as CSV: one file in the order of ``df``, or one per task.
+
+    The result is computed once, in as many tasks as it needs, and stored; only the stored rows
+    move to one task. ``coalesce(1)`` on the result itself would run its last steps there too.
+    """
+    if not single_file:
+        write_csv(df, path)
+        return
+    with staged():
+        stored = stage(df.withColumn("_row", F.monotonically_increasing_id()), "report")
+        write_csv(stored.repartition(1).sortWithinPartitions("_row").drop("_row"), path)
 
 
 def write_records(df: DataFrame, path: str) -> None:
@@ -78,12 +88,12 @@ def fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
-def verify_write(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
+def verify_write(df: DataFrame, path: str, fmt: str = "parquet", **options) -> DataFrame:
     """One row: rows and checksum of ``df`` and of the table at ``path``, and whether they match.
 
-    CSV is read back with the schema of ``df``.
+    CSV is read back with the schema of ``df`` and the ``options`` of the CSV reader.
     """
-    written = read_table(df.sparkSession, path, fmt, df.schema)
+    written = read_table(df.sparkSession, path, fmt, df.schema, **options)
     sides = fingerprint(df).withColumn("side", F.lit("expected")).unionByName(
         fingerprint(written.select(*[F.col(f"`{c}`") for c in df.columns])).withColumn("side", F.lit("written"))
     )
@@ -104,17 +114,25 @@ def transfer(
     dst: str,
     dst_fmt: str = "parquet",
     schema: T.StructType | None = None,
+    multi_line: bool = False,
 ) -> int:
     """Copy a table between any two Hadoop file systems and formats; returns the rows written.
 
-    The session stays open. The count is read from the copy, where Parquet answers it from its
-    file footers, so the source is read once.
+    The session stays open. Rows and checksum of source and copy are compared, and a difference is
+    an error. CSV marks null as ``\\N``; texts with line breaks need ``multi_line``.
     """
     if dst_fmt not in ("csv", "parquet"):
         raise ValueError(f"unknown format {dst_fmt!r}: use csv, parquet")
-    df = read_table(spark, src, src_fmt, schema)
-    (write_parquet if dst_fmt == "parquet" else write_csv)(df, dst)
-    return read_table(spark, dst, dst_fmt, df.schema).count()
+    csv = {"multi_line": multi_line, "null_mark": NULL_MARK}
+    df = read_table(spark, src, src_fmt, schema, **(csv if src_fmt == "csv" else {}))
+    if dst_fmt == "parquet":
+        write_parquet(df, dst)
+    else:
+        write_csv(df, dst, NULL_MARK)
+    found = verify_write(df, dst, dst_fmt, **(csv if dst_fmt == "csv" else {})).first()
+    if not found.matches:
+        raise RuntimeError(f"{dst} has {found.written_rows} rows that differ from the {found.expected_rows} of {src}")
+    return found.written_rows
 
 
 @dataclass

@@ -33,7 +33,7 @@ def test_retail_flow(spark, order_csv, tmp_path):
     assert category.agg(F.sum("order_count")).first()[0] == orders.count()
     accuracies = readers.read_csv(spark, f"{base}/gold/analysis/model_accuracies")
     assert {r.model for r in accuracies.collect()} == {*estimators, "AR_5_1"}
-    assert spark.read.json(f"{base}/logs/optimization/timings").count() == 5
+    assert spark.read.json(f"{base}/logs/optimization/timings").count() == 6
     assert spark.read.json(f"{base}/logs/optimization/partitions").count() == 2
     assert len(list((tmp_path / "gold" / "analysis").iterdir())) == len(retail.reports(orders)) + 1
     assert spark.range(1).count() == 1  # the session is still open

@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlight.operators.cleaning import OrderRules
 from ledgerlight.sources import readers, schemas, sinks
@@ -74,11 +75,32 @@ def test_partitioned_write_is_pruned(spark, sf, tmp_path):
     assert spark.read.parquet(path).count() == df.count()
 
 
-def test_report_is_one_file_only_when_small(spark, tmp_path):
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "o.csv").write_text("x,b,a\n1,2.5,7\n1,bad,8\n1,2,3,4\n ,\" 3\",9\n")
+    path = uri(tmp_path / "o.csv")
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.DoubleType())])
+    rows = readers.read_csv(spark, path, schema, keep_corrupt=True).collect()
+    assert [(r.a, r.b) for r in rows if not r[readers.CORRUPT]] == [(7, 2.5), (9, 3.0)] and len(rows) == 4
+    with pytest.raises(ValueError, match="missing columns: z"):
+        readers.read_csv(spark, path, T.StructType([T.StructField("z", T.StringType())]))
+
+
+def test_csv_copies_lose_nothing_and_damage_is_found(spark, tmp_path):
+    df = spark.sql("""SELECT * FROM VALUES (' lead', timestamp_ntz'2024-01-01 00:00:00.123456'), ('a\nb "q"', NULL), ('', NULL), (NULL, NULL) t(s, t)""")
+    src, csv = uri(tmp_path / "src"), uri(tmp_path / "copy")
+    sinks.write_parquet(df, src)
+    assert sinks.transfer(spark, src, "parquet", csv, "csv", multi_line=True) == 4
+    back = readers.read_csv(spark, csv, df.schema, multi_line=True, null_mark=sinks.NULL_MARK)
+    assert back.exceptAll(df).count() == 0
+    with pytest.raises(RuntimeError, match="differ"):
+        sinks.transfer(spark, src, "parquet", uri(tmp_path / "broken"), "csv")
+
+
+def test_report_file_layout_is_the_callers_choice(spark, tmp_path):
     df = spark.range(0, 100, 1, 4)
-    assert sinks.write_report(df, uri(tmp_path / "small")) is True
+    sinks.write_report(df, uri(tmp_path / "small"))
     assert len(list((tmp_path / "small").glob("*.csv"))) == 1
-    assert sinks.write_report(df, uri(tmp_path / "large"), max_rows=10) is False
+    sinks.write_report(df, uri(tmp_path / "large"), single_file=False)
     assert len(list((tmp_path / "large").glob("*.csv"))) == 4
     assert readers.read_csv(spark, uri(tmp_path / "large")).count() == 100
 
