@@ -275,7 +275,8 @@ def store_blocks(docs: DataFrame, blocks: int, buckets: int) -> DataFrame:
 def first_copies(rows: DataFrame) -> DataFrame:
     """(doc_id, digest) of every row whose whole text an earlier document has; ``rows``: doc_id, digest."""
     groups = scratch.keep(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first"), "copy-groups")
-    later = scratch.keep(rows.join(groups, "digest").where("doc_id > first").select("doc_id", "digest").distinct(), "copies")
+    # Merged, so that both sides are plain shuffles and a digest with very many copies is split.
+    later = scratch.keep(rows.hint("merge").join(groups, "digest").where("doc_id > first").select("doc_id", "digest").distinct(), "copies")
     scratch.drop(groups)
     return later
 
