@@ -43,7 +43,7 @@ SPREAD = WIDTH - GRAM + 1
 HOT_BLOCKS = 128
 #: Text read by one task.
 BUCKET_BYTES = 16 << 20
-_POSITION = 24  # bits of a packed number that hold a position in the block
+_POSITION = 24  # bits of a packed number that hold a position in a stretch of the block
 
 ANSWER = "block int, owner int, payload binary"
 
@@ -56,6 +56,26 @@ def expand(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), kind)
 
 
+def least_grams(grams: np.ndarray, stretch: int = 1 << _POSITION) -> np.ndarray:
+    """Of each ``SPREAD`` neighbours, the position of the one with the smallest hash, or the first of several.
+
+    Hashes are compared by the bits that positions leave free. Positions count within stretches that
+    overlap, so the outcome does not depend on where in a block, or in how long a block, a window lies.
+    """
+    low, found = np.uint64((1 << _POSITION) - 1), [np.zeros(0, np.int64)]
+    step = stretch - SPREAD
+    for at in range(0, len(grams) - SPREAD + 1, step):
+        part = grams[at : at + step + SPREAD - 1]
+        least, reach = part & ~low | np.arange(len(part), dtype=np.uint64), 1
+        while reach * 2 <= SPREAD:
+            least = np.minimum(least[:-reach], least[reach:])
+            reach *= 2
+        if reach < SPREAD:
+            least = np.minimum(least[: len(least) - (SPREAD - reach)], least[SPREAD - reach :])
+        found.append((least & low).astype(np.int64) + at)
+    return np.concatenate(found)
+
+
 class Block:
     """The anchors and windows of a block's documents; equal blocks give equal arrays."""
 
@@ -73,21 +93,13 @@ class Block:
 
     def find(self) -> None:
         """Windows grouped by their anchors: start of the first, number of windows, row, anchor hash."""
-        if len(self.data) >> _POSITION:
-            raise ValueError("a block must be shorter than 16 MB")
         self.hashes = PrefixHashes(self.data)
         grams = mix(self.hashes.grams(GRAM))
-        packed = grams >> np.uint64(_POSITION) << np.uint64(_POSITION) | np.arange(len(grams), dtype=np.uint64)
-        least, reach = packed, 1
-        while reach * 2 <= SPREAD:
-            least = np.minimum(least[:-reach], least[reach:])
-            reach *= 2
-        if reach < SPREAD:
-            least = np.minimum(least[: len(least) - (SPREAD - reach)], least[SPREAD - reach :])
+        least = least_grams(grams)
         rows = np.flatnonzero(self.takes_part)
         windows = ragged(self.offsets[rows], self.lengths[rows] - WIDTH + 1)
         row = np.repeat(rows, self.lengths[rows] - WIDTH + 1)
-        anchor = (least[windows] & np.uint64((1 << _POSITION) - 1)).astype(np.int64)
+        anchor = least[windows]
         new = np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])] if len(row) else np.zeros(0, bool)
         head = np.flatnonzero(new)
         self.start, self.row = windows[head], row[head]
