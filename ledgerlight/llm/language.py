@@ -10,7 +10,6 @@ rows of the matrix.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +25,6 @@ UNDETERMINED = "und"
 SLOTS = 1 << 14
 SIZES = (1, 2, 3)
 BATCH_BYTES = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
 # Odd multipliers of the n-gram hash.
 _MULTIPLIERS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
@@ -160,7 +158,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", *carry: str) ->
         for batch in batches:
             for part in slices(batch, source, BATCH_BYTES):
                 texts = part.column(source).to_pylist()
-                known = [i for i, x in enumerate(texts) if m.languages and x and _LETTER.search(x)]
+                known = [i for i, x in enumerate(texts) if m.languages and x and any(map(str.isalpha, x))]
                 names, sure = [UNDETERMINED] * len(texts), np.zeros(len(texts))
                 if known:
                     found, p = score([texts[i] for i in known], m)
