@@ -6,9 +6,9 @@ is all that delimits records. :func:`parse_arc` reads both versions; :func:`conv
 into WARC records with identifiers, timestamps, types and digests made from the old fields, storing
 equal payloads once and referring to that record from the others.
 
-Files are written by Spark's text writer, whose line separator is the end mark of a record, and read
-whole by its binary reader; a task writes at most ``file_bytes`` of text per file, so a file fits a
-task. Block boundaries are found by declared lengths alone, so payloads may hold anything.
+Files are written by Spark's text writer, one row and so one file of at most ``FILE_BYTES`` of records
+(or a single longer one) after the other, whatever the length of the pages, and read whole by its
+binary reader, so a file fits a task. Block boundaries are found by declared lengths alone, so payloads may hold anything.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import scratch
+from ledgerlight.llm.arrow_text import slices
 
 # The header fields of the two ARC versions and the types they are read as.
 ARC_FIELDS = {
@@ -34,6 +35,8 @@ ARC_FIELDS = {
 # Options of the text writer: archives are read back soon, so compression favours speed.
 _PACKED = {"zlib.compress.level": "BEST_SPEED"}
 ID_HEADER = "X-Archive-Item"
+#: Bytes of records in a file.
+FILE_BYTES = 8 << 20
 RECORD_COLUMNS = "item long, url string, stamp string, mime string, payload binary"
 WARC_COLUMNS = "item long, record_id string, record_type string, url string, warc_date string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
@@ -171,31 +174,44 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content")
 
 
-def write_arc(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", stamp: str = "20240501000000", rows: int = 2_000, codec: str = "gzip") -> str:
-    """Write rows as ARC files, version 1 and 2 by turns, and return their folder.
+def _in_files(records: Iterator[bytes], mark: bytes, file_bytes: int, head: bytes = b"") -> Iterator[pa.RecordBatch]:
+    """One row per file: ``head`` and consecutive records, separated by ``mark``."""
+    held, size = [], 0
 
-    A file holds one batch of at most ``rows`` pages: Spark starts a new one after that many.
-    """
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"value": pa.array([mark.join([head, *held] if head else held)], pa.binary())})
+
+    for record in records:
+        if held and size + len(record) > file_bytes:
+            yield row()
+            held, size = [], 0
+        held.append(record)
+        size += len(record)
+    if held:
+        yield row()
+
+
+def _write_files(rows: DataFrame, path: str, mark: str, codec: str) -> None:
+    """Each ``value`` as a file of its own, ended by ``mark``."""
+    writer = rows.select(F.col("value").cast("string")).write.option("lineSep", mark).option("maxRecordsPerFile", 1)
+    writer.options(**_PACKED, compression=codec).text(path)
+
+
+def write_arc(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", stamp: str = "20240501000000", file_bytes: int = FILE_BYTES, codec: str = "gzip") -> str:
+    """Write rows as ARC files, version 1 and 2 by turns of the tasks, and return their folder."""
     picked = pages.select(F.col(page_id).cast("bigint").alias("item"), F.col(url).alias("url"), F.col(html).alias("html"))
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        version, name, out = 1 + part % 2, f"part-{part:05d}.arc", []
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("item", "url", "html"))):
-                if not out:
-                    out.append(arc_version_block(version, name))
-                out.append(arc_record(version, row[0], row[1], row[2] or "", stamp, name))
-                if len(out) > rows:
-                    yield pa.RecordBatch.from_pydict({"value": out})
-                    out = []
-        if out:
-            yield pa.RecordBatch.from_pydict({"value": out})
+        version, name = 1 + part % 2, f"part-{part:05d}.arc"
+        rows = (row for batch in batches for piece in slices(batch, "html") for row in zip(*(piece.column(k).to_pylist() for k in ("item", "url", "html"))))
+        records = (arc_record(version, item, target, page or "", stamp, name).encode() for item, target, page in rows)
+        yield from _in_files(records, b"\n", file_bytes, arc_version_block(version, name).encode())
 
     path = scratch.new_path(pages.sparkSession, "arc")
-    picked.mapInArrow(records, "value string").write.option("lineSep", "\n").options(**_PACKED, compression=codec).option("maxRecordsPerFile", rows + 1).text(path)
+    _write_files(picked.mapInArrow(write, "value binary"), path, "\n", codec)
     return path
 
 
@@ -235,7 +251,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInArrow(records, WARC_COLUMNS)
 
 
-def convert(spark: SparkSession, arc_path: str, min_bytes: int = 0, codec: str = "gzip", rows: int = 2_000) -> str:
+def convert(spark: SparkSession, arc_path: str, min_bytes: int = 0, codec: str = "gzip", file_bytes: int = FILE_BYTES) -> str:
     """Write the records of ARC files as WARC files and return their folder.
 
     Of records with equal payloads of at least ``min_bytes`` bytes the one with the largest item
@@ -252,16 +268,14 @@ def convert(spark: SparkSession, arc_path: str, min_bytes: int = 0, codec: str =
     groups = scratch.keep(small.groupBy("digest").agg(F.max("item").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "arc-groups")
     revisits = scratch.keep(small.join(groups, "digest").where("item <> first").select("item", "digest", F.col("first").alias("refers_to")).distinct(), "arc-revisits")
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for item, url, stamp, mime, payload, refers_to in zip(*(batch.column(k).to_pylist() for k in ("item", "url", "stamp", "mime", "payload", "refers_to"))):
-                out.append(warc_record(item, url, stamp, mime, payload, refers_to))
-            yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ("item", "url", "stamp", "mime", "payload", "refers_to")
+        rows = (row for batch in batches for piece in slices(batch, "payload") for row in zip(*(piece.column(k).to_pylist() for k in columns)))
+        yield from _in_files((warc_record(*row) for row in rows), b"\r\n\r\n", file_bytes)
 
     joined = parsed.join(revisits, ["item", "digest"], "left").select("item", "url", "stamp", "mime", "payload", "refers_to")
     path = scratch.new_path(spark, "warc")
-    joined.mapInArrow(records, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").options(**_PACKED, compression=codec).option("maxRecordsPerFile", rows).text(path)
+    _write_files(joined.mapInArrow(write, "value binary"), path, "\r\n\r\n", codec)
     scratch.drop(small, groups, revisits)
     return path
 
