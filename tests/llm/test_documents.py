@@ -17,7 +17,7 @@ from ledgerlight.llm.fm_index import FMIndex
 from ledgerlight.llm.rolling import PrefixHashes
 from ledgerlight.llm.suffix_sort import Suffixes, first_owner
 
-EDGES = [(1, None), (2, ""), (3, "  \n\t "), (4, "one"), (4, "one"), (5, "É中文 ß"), (None, "no id here"), (6, "one"), (7, "two words"), (8, "%%% ... 123")]
+EDGES = [(1, None), (2, ""), (3, "  \n\t "), (4, "one"), (4, "one"), (5, "É中文 ß"), (None, "no id here"), (6, "one"), (7, "two words"), (8, "%%% ... 123"), (9, "½ ² Ⅷ")]
 
 
 def words(n, seed, vocabulary=400):
@@ -71,6 +71,22 @@ def test_repeats_edges(docs):
     assert repeats.remove_repeats(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("size", [0, 26, 27, 28, 300, 1000])
+def test_least_grams_do_not_depend_on_stretches(size):
+    grams = np.random.default_rng(size).integers(0, 40, size, dtype=np.uint64) << np.uint64(30)
+    want = [i + int(np.argmin(grams[i : i + repeats.SPREAD])) for i in range(size - repeats.SPREAD + 1)]
+    for stretch in (repeats.SPREAD + 1, 64, 1 << 24):
+        assert repeats.least_grams(grams, stretch).tolist() == want
+
+
+def test_a_text_beyond_sixteen_megabytes(docs):
+    rng = np.random.default_rng(3)
+    long, line = rng.integers(97, 123, 17_000_000, dtype=np.uint8).tobytes().decode(), " ".join(words(30, 4))
+    rows = [(1, line), (2, long + line), (3, long[-90:]), (4, long[:60])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeats.remove_repeats(docs(rows)).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()}
+    assert got == {1: (len(line), 0, 0), 2: (len(long) + len(line), len(line), 1), 3: (90, 90, 1), 4: (60, 60, 1)}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text("ab", min_size=16, max_size=60), min_size=1, max_size=30))
 def test_suffix_order(texts):
@@ -220,7 +236,7 @@ def test_language_held_out_accuracy_and_edges(spark, sf, docs):
     assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
     model = language.train(spark.read.parquet(f"{sf}/documents.parquet"))
     edge = {(r.doc_id, r.lang_pred == "und") for r in language.identify(docs(EDGES), model, "text", "doc_id").collect()}
-    assert {(1, True), (2, True), (3, True), (8, True), (4, False), (5, False)} <= edge
+    assert {(1, True), (2, True), (3, True), (8, True), (9, True), (4, False), (5, False)} <= edge
     assert language.identify(docs([]), model, "text", "doc_id").count() == 0
     nothing = language.train(docs([]))
     assert {r.lang_pred for r in language.identify(docs(EDGES), nothing, "text", "doc_id").collect()} == {"und"}

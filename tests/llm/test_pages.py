@@ -133,6 +133,18 @@ def test_archives(spark):
     assert archives.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_archive_files_hold_a_stated_number_of_bytes(spark):
+    pages = spark.range(40).selectExpr("id AS page_id", "concat('http://x/', id) AS url", "repeat(cast(id AS string), 300) AS html").coalesce(1)
+    arc = archives.write_arc(pages, file_bytes=2_000, codec="none")
+    files = [bytes(r.content) for r in archives._files(spark, arc).collect()]
+    assert len(files) > 10 and max(map(len, files)) < 2_000 + 200
+    assert sorted(r[0] for f in files for r in archives.parse_arc(f)) == list(range(40))
+    warc = archives.convert(spark, arc, file_bytes=2_000, codec="none")
+    files = [bytes(r.content) for r in archives._files(spark, warc).collect()]
+    assert len(files) > 10 and max(map(len, files)) < 2_000 + 10
+    assert sorted(r[0] for f in files for r in archives.parse_warc(f)) == list(range(40))
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions(version):
     text = archives.arc_version_block(version, "f") + "\n" + archives.arc_record(version, 7, "http://u/", "body\nhttp://x 1 2 3 9\n", "20010203", "f") + "\n"
