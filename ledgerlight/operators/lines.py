@@ -34,20 +34,22 @@ def classify_lines(
 ) -> DataFrame:
     """Split ``lines.value`` on ``sep`` (quotes have no meaning) and check every field.
 
-    Adds ``fields`` (array of text without outer whitespace) and ``reason``: null for a good line, otherwise
-    ``field count``, ``missing value`` or ``not a number``.
+    Adds ``fields`` (array of text without outer whitespace), ``typed`` (the fields as the schema's types)
+    and ``reason``: null for a good line, otherwise ``field count``, ``missing value`` or ``not a number``.
     """
     if header is not None:
         lines = without_header(lines, header)
     # -1 keeps trailing empty fields. split takes a regex, and has a faster way for one character.
     fields = F.transform(F.split("value", re.escape(sep), -1), strip)
     # Exploding a one-element array keeps the optimizer from copying the split into every
-    # expression that reads a field: each line is split once.
+    # expression that reads a field, and a cast into every one that reads its number: each line is
+    # split once and each number read once.
     lines = lines.select("*", F.explode(F.array(fields)).alias("fields"))
+    lines = lines.select("*", F.explode(F.array(F.struct(*_row(schema)))).alias("typed"))
     bad_number = F.lit(False)
-    for i, f in enumerate(schema.fields):
+    for f in schema.fields:
         if isinstance(f.dataType, T.NumericType):
-            bad_number = bad_number | _typed(i, f.dataType).isNull()
+            bad_number = bad_number | F.col("typed")[f.name].isNull()
     return lines.withColumn(
         "reason",
         F.when(F.size("fields") != len(schema), "field count")
@@ -56,9 +58,9 @@ def classify_lines(
     )
 
 
-def typed_lines(classified: DataFrame, schema: T.StructType) -> DataFrame:
+def typed_lines(classified: DataFrame) -> DataFrame:
     """Good lines as stripped, typed columns."""
-    return classified.filter(F.col("reason").isNull()).select(*_row(schema))
+    return classified.filter(F.col("reason").isNull()).select("typed.*")
 
 
 def rejected_lines(classified: DataFrame) -> DataFrame:
@@ -71,7 +73,7 @@ def parse_lines(
 ) -> tuple[DataFrame, DataFrame]:
     """``(valid, rejects)``: distinct typed rows, and the rejected lines with their reason."""
     classified = classify_lines(lines, schema, sep, header)
-    return typed_lines(classified, schema).distinct(), rejected_lines(classified)
+    return typed_lines(classified).distinct(), rejected_lines(classified)
 
 
 def line_report(
@@ -86,7 +88,7 @@ def line_report(
     classified = classify_lines(lines.withColumn("header", is_header), schema, sep)
     state = F.when(F.col("header"), "header").otherwise(F.coalesce("reason", F.lit("valid")))
     counted = (
-        classified.select(state.alias("state"), F.when(F.col("reason").isNull() & ~F.col("header"), F.struct(*_row(schema))).alias("row"))
+        classified.select(state.alias("state"), F.when(F.col("reason").isNull() & ~F.col("header"), F.col("typed")).alias("row"))
         .groupBy("state", "row")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -42,7 +42,7 @@ QUERIES = {
     ),
 }
 
-_LINES = f"""
+LINES = f"""
   WITH base AS (
     SELECT l_orderkey AS k, concat_ws(',',
         CASE WHEN l_orderkey % 29 = 0 THEN 'n/a' ELSE CAST(l_linenumber AS VARCHAR) END,
@@ -72,9 +72,9 @@ _LINES = f"""
 """
 
 ORACLES = {
-    "salary_valid_rows": _LINES + "SELECT * FROM valid",
-    "salary_rejects": _LINES + "SELECT value, reason FROM checked WHERE reason IS NOT NULL",
-    "salary_line_report": _LINES
+    "salary_valid_rows": LINES + "SELECT * FROM valid",
+    "salary_rejects": LINES + "SELECT value, reason FROM checked WHERE reason IS NOT NULL",
+    "salary_line_report": LINES
     + f"""SELECT (SELECT COUNT(*) FROM lines) AS lines,
             (SELECT COUNT(*) FROM lines WHERE value = '{LISTINGS_HEADER}') AS header_lines,
             COUNT(*) FILTER (reason = 'field count') AS bad_field_count,
@@ -82,21 +82,21 @@ ORACLES = {
             COUNT(*) FILTER (reason = 'not a number') AS bad_number,
             COUNT(*) FILTER (reason IS NULL) - (SELECT COUNT(*) FROM valid) AS duplicates,
             (SELECT COUNT(*) FROM valid) AS rows_out FROM checked""",
-    "title_words": _LINES
+    "title_words": LINES
     + """SELECT word, COUNT(*) AS count FROM (SELECT unnest(string_split("Job Title", ' ')) AS word FROM valid) GROUP BY 1""",
-    "salary_status_share": _LINES
+    "salary_status_share": LINES
     + """SELECT COUNT(*) AS rows, COUNT(*) FILTER ("Employment Status" = '1-URGENT') AS matching,
          CAST(100.0 AS DOUBLE) * COUNT(*) FILTER ("Employment Status" = '1-URGENT') / COUNT(*) AS percentage FROM valid""",
-    "salary_total_by_location": _LINES
+    "salary_total_by_location": LINES
     + f"""SELECT "Location", {money('"Salary"')} AS total FROM valid GROUP BY 1""",
     "total_by_key": f"SELECT o_orderpriority, {money('o_totalprice')} AS total FROM orders GROUP BY 1",
     "values_by_key": "SELECT o_orderpriority, o_totalprice, COUNT(*) AS copies FROM orders GROUP BY 1, 2",
     "ranges_by_key": """SELECT o_orderpriority, COUNT(o_totalprice) AS entries, MIN(o_totalprice) AS min_value,
         MAX(o_totalprice) AS max_value FROM orders GROUP BY 1""",
-    "count_by_key_top8": _LINES
+    "count_by_key_top8": LINES
     + """SELECT "Location", COUNT(*) AS count FROM valid GROUP BY 1 ORDER BY count DESC, "Location" LIMIT 8""",
-    "avg_by_key": _LINES
+    "avg_by_key": LINES
     + f"""SELECT "Location", ROUND({money('"Salary"')} / COUNT("Salary"), 2) AS average FROM valid GROUP BY 1""",
-    "uplift_by_key": _LINES
+    "uplift_by_key": LINES
     + f"""SELECT "Location", ROUND({money('"Salary"')} * CAST(1.1 AS DOUBLE), 4) AS total FROM valid GROUP BY 1""",
 }

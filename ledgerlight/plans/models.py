@@ -14,6 +14,7 @@ from ledgerlight.operators import models
 from ledgerlight.operators.cleaning import clean_orders
 from ledgerlight.operators.quality import model_health, regression_metrics
 from ledgerlight.operators.sampling import split
+from ledgerlight.plans.sql import CLEAN, bucket
 from ledgerlight.sources.readers import load_model
 from ledgerlight.sources.sales import raw_orders, sales_view, table
 from ledgerlight.sources.sinks import save_model
@@ -36,6 +37,11 @@ def _leaderboard(spark, sf):
     return models.train_all(*_split(spark, sf))[1]
 
 
+def _leaderboard_rows(spark, sf):
+    """How many held-out orders each model was rated on."""
+    return _leaderboard(spark, sf).select("model", "rows")
+
+
 def _score(spark, sf):
     train, test = _split(spark, sf)
     return models.score(_linear(train), test).select("OrderID", "TotalAmount", "prediction")
@@ -83,6 +89,7 @@ def _line(spark, sf):
 
 QUERIES = {
     "model_leaderboard": _leaderboard,
+    "leaderboard_rows": _leaderboard_rows,
     "score_batch": _score,
     "trained_model_health": _trained_health,
     "demand_model": _demand,
@@ -90,6 +97,9 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "leaderboard_rows": f"""
+        SELECT model, COUNT(*) AS rows FROM ({CLEAN}), (VALUES ('Linear_Regression'), ('Random_Forest'), ('Gradient_Boosting')) m(model)
+        WHERE NOT {bucket('"OrderID"')} < {int(0.8 * 2**32)} GROUP BY 1""",
     "line_fit_saved": """
         WITH fit AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem),
         e AS (SELECT l_extendedprice AS y, l_extendedprice - a - b * l_quantity AS d FROM lineitem, fit)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlight.functions.columns import categorical_columns, numeric_columns
 from ledgerlight.functions.staging import stage
 from ledgerlight.operators import aggregates as agg
 from ledgerlight.operators import cleaning, joins
 from ledgerlight.operators.partitioning import skew_report
-from ledgerlight.operators.quantiles import iqr_filter
+from ledgerlight.operators.profile import non_null_counts
+from ledgerlight.operators.quantiles import iqr_bounds, iqr_filter
 from ledgerlight.plans.sql import CLEAN, RAW, SALES, UNIQUE, money
 from ledgerlight.sources.sales import raw_orders, sales_view, table
 
@@ -23,6 +25,14 @@ def _joined(result):
     )
 
 
+def _column_kinds(spark, sf):
+    """Numeric and text columns of the raw orders, and how many values each has."""
+    raw = raw_orders(spark, sf)
+    kinds = {c: "numeric" for c in numeric_columns(raw)} | {c: "text" for c in categorical_columns(raw)}
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    return non_null_counts(raw, list(kinds)).withColumn("kind", kind[F.col("column")])
+
+
 def _fact(spark, sf):
     """The joined rows, stored once: the dimension is derived from them and joined to them."""
     return stage(_rows(spark, sf, "State", "TotalAmount"), "state-sales")
@@ -54,7 +64,24 @@ def _averages_from_partials(spark, sf):
     return agg.merge_partials(agg.bag_union(*parts), "o_orderpriority")
 
 
+def _approximate_ranks(spark, sf, rel_err=0.05):
+    """Are the ranks of the approximate quartiles within the stated error?"""
+    events = table(spark, sf, "events")
+    found = iqr_bounds(events, ["value"], rel_err=rel_err)["value"]
+    n, v = F.count("value"), F.col("value")
+    near = [
+        (F.count_if(v < found[q]) <= n * (p + rel_err)) & (F.count_if(v <= found[q]) >= n * (p - rel_err))
+        for q, p in (("q1", 0.25), ("q3", 0.75))
+    ]
+    return events.agg(n.alias("values"), near[0].alias("q1_near"), near[1].alias("q3_near"))
+
+
 QUERIES = {
+    "iqr_approx_ranks": _approximate_ranks,
+    "first_rows": lambda spark, sf: agg.first_rows(
+        table(spark, sf, "orders").select("o_orderdate", "o_orderkey", "o_totalprice"), 20, ["o_orderdate", "o_orderkey", "o_totalprice"]
+    ),
+    "column_kinds": _column_kinds,
     "category_performance": lambda spark, sf: agg.category_performance(
         _rows(spark, sf, "OrderID", "Category", "TotalAmount")
     ),
@@ -123,7 +150,16 @@ _YEAR_QUARTER = """CAST(year("OrderDate") AS VARCHAR) || '{}' || 'Q' || CAST(qua
 _JOIN = f"""SELECT 'Standard' AS "Region", "State", COUNT(*) AS orders, {money('"TotalAmount"')} AS revenue
             FROM ({SALES}) GROUP BY "State" """
 
+_KINDS = {"numeric": ("CustomerID", "ProductID", "Quantity", "UnitPrice", "Discount", "Tax", "ShippingCost", "TotalAmount"),
+          "text": ("OrderID", "OrderDate", "Category", "PaymentMethod", "City", "State")}
+
 ORACLES = {
+    "iqr_approx_ranks": "SELECT COUNT(value) AS values, TRUE AS q1_near, TRUE AS q3_near FROM events",
+    "first_rows": "SELECT o_orderdate, o_orderkey, o_totalprice FROM orders ORDER BY 1, 2, 3 LIMIT 20",
+    "column_kinds": " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", COUNT("{c}") AS count, '{kind}' AS kind FROM ({SALES if c in ("CustomerID", "ProductID") else RAW})"""
+        for kind, cols in _KINDS.items() for c in cols
+    ),
     "category_performance": f"""SELECT "Category", {money('"TotalAmount"')} AS total_revenue, COUNT("OrderID") AS order_count,
         {money('"TotalAmount"')} / COUNT("TotalAmount") AS avg_order_value FROM ({SALES}) GROUP BY 1""",
     "monthly_revenue": _PERIOD.format(label="""strftime("OrderDate", '%Y-%m')"""),

@@ -20,7 +20,24 @@ def _daily_by(spark, sf, *keys):
     return daily_totals(sales_view(spark, sf, [*keys, "OrderDate", "TotalAmount"]), keys=keys)
 
 
+def _ar1(spark, sf):
+    """One coefficient: what SQL can compute in closed form."""
+    found = ts.ar_forecast(_daily_by(spark, sf, "State"), ["State"], p=1).where("status = 'ok'")
+    return found.select("State", "date", "actual", F.round("forecast", 1).alias("forecast"))
+
+
+def _bernoulli_share(spark, sf, fraction=0.05):
+    """Is the sample's size within six standard deviations of its expectation?"""
+    orders = table(spark, sf, "orders")
+    sampled = sampling.bernoulli_sample(orders.select("o_orderkey"), fraction).agg(F.count(F.lit(1)).alias("n")).scalar()
+    rows = F.count(F.lit(1))
+    off = F.abs(F.first(sampled) - rows * fraction)
+    return orders.agg(rows.alias("rows"), (off <= 6 * F.sqrt(rows * fraction * (1 - fraction))).alias("as_expected"))
+
+
 QUERIES = {
+    "ar1_forecast_by_state": _ar1,
+    "bernoulli_share": _bernoulli_share,
     "daily_calendar_series": lambda spark, sf: ts.calendar_fill(_daily(spark, sf)),
     "daily_calendar_by_city": lambda spark, sf: ts.calendar_fill(_daily_by(spark, sf, "City"), keys=["City"]),
     "lag_features": lambda spark, sf: models.demand_features(
@@ -62,11 +79,14 @@ _DAILY = f"""daily AS (SELECT CAST(o_orderdate AS DATE) AS date, {money('o_total
   filled AS (SELECT c.date, COALESCE(d.value, 0.0::DOUBLE) AS value
              FROM (SELECT CAST(unnest(generate_series(MIN(date), MAX(date), INTERVAL 1 DAY)) AS DATE) AS date FROM daily) c
              LEFT JOIN daily d ON c.date = d.date)"""
-_CITY = f"""daily AS (SELECT "City", "OrderDate" AS date, {money('"TotalAmount"')} AS value FROM ({SALES}) GROUP BY 1, 2),
-  filled AS (SELECT c."City", c.date, COALESCE(d.value, 0.0::DOUBLE) AS value
-             FROM (SELECT "City", CAST(unnest(generate_series(MIN(date), MAX(date), INTERVAL 1 DAY)) AS DATE) AS date
-                   FROM daily GROUP BY "City") c
-             LEFT JOIN daily d ON c.date = d.date AND c."City" = d."City")"""
+
+
+def _filled(key: str) -> str:
+    return f"""daily AS (SELECT "{key}", "OrderDate" AS date, {money('"TotalAmount"')} AS value FROM ({SALES}) GROUP BY 1, 2),
+  filled AS (SELECT c."{key}", c.date, COALESCE(d.value, 0.0::DOUBLE) AS value
+             FROM (SELECT "{key}", CAST(unnest(generate_series(MIN(date), MAX(date), INTERVAL 1 DAY)) AS DATE) AS date
+                   FROM daily GROUP BY "{key}") c
+             LEFT JOIN daily d ON c.date = d.date AND c."{key}" = d."{key}")"""
 
 
 def _calendar(date: str) -> str:
@@ -76,14 +96,24 @@ def _calendar(date: str) -> str:
 
 
 ORACLES = {
+    "ar1_forecast_by_state": "WITH " + _filled("State") + """,
+        placed AS (SELECT "State", date, value, row_number() OVER w AS i, value - lag(value) OVER w AS d,
+                     COUNT(*) OVER (PARTITION BY "State") AS n, CAST(FLOOR(COUNT(*) OVER (PARTITION BY "State") * 0.8::DOUBLE) AS BIGINT) AS k
+                   FROM filled WINDOW w AS (PARTITION BY "State" ORDER BY date)),
+        lagged AS (SELECT "State", d, lag(d) OVER (PARTITION BY "State" ORDER BY i) AS before FROM placed WHERE i <= k AND n >= 11),
+        fit AS (SELECT "State", SUM(d * before) / SUM(before * before) AS phi FROM lagged WHERE before IS NOT NULL GROUP BY 1),
+        ends AS (SELECT "State", value AS last, d FROM placed WHERE i = k)
+        SELECT "State", date, value AS actual, ROUND(last + ends.d * phi * (1 - phi ** (i - k)) / (1 - phi), 1) AS forecast
+        FROM placed JOIN fit USING ("State") JOIN ends USING ("State") WHERE i > k""",
+    "bernoulli_share": "SELECT COUNT(*) AS rows, TRUE AS as_expected FROM orders",
     "daily_calendar_series": f"WITH {_DAILY} SELECT date, value FROM filled",
-    "daily_calendar_by_city": f"""WITH {_CITY} SELECT "City", date, value FROM filled""",
+    "daily_calendar_by_city": f"""WITH {_filled("City")} SELECT "City", date, value FROM filled""",
     "lag_features": f"""WITH d AS (SELECT "OrderDate" AS order_date, "ProductID", "State",
           CAST(SUM("Quantity") AS BIGINT) AS daily_quantity, {money('"TotalAmount"')} AS daily_total_sales
           FROM ({SALES}) GROUP BY 1, 2, 3)
         SELECT *, CAST(COALESCE(lag(daily_quantity) OVER (PARTITION BY "ProductID", "State" ORDER BY order_date), 0) AS BIGINT)
           AS lag_1_day_qty, {_calendar("order_date")} FROM d""",
-    "lag_calendar_days": f"""WITH {_CITY} SELECT "City", date, value,
+    "lag_calendar_days": f"""WITH {_filled("City")} SELECT "City", date, value,
           COALESCE(lag(value, 1) OVER w, 0.0::DOUBLE) AS lag_1_day, COALESCE(lag(value, 7) OVER w, 0.0::DOUBLE) AS lag_7_day
         FROM filled WINDOW w AS (PARTITION BY "City" ORDER BY date)""",
     "calendar_features": f"""SELECT "OrderID", "OrderDate", {_calendar('"OrderDate"')} FROM ({SALES})""",

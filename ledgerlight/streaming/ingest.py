@@ -20,9 +20,13 @@ from ledgerlight.sources.schemas import ORDERS
 def order_stream(
     spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType = ORDERS, max_files: int = 1000
 ) -> DataFrame:
-    """New files under ``path`` as a stream of raw orders."""
+    """New files under ``path`` as a stream of raw orders.
+
+    A stream takes CSV columns by position; a file whose header has other names, or another order,
+    stops it instead of being read into the wrong columns.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    return reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+    return reader.options(header=True, enforceSchema=False).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
 
 
 def new_orders(batch: DataFrame, table: DataFrame, key: str) -> DataFrame:
