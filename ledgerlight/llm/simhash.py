@@ -30,6 +30,8 @@ MAX_BITS = 3
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 SEED = 42
+#: Shingles whose bits are counted in one step, so that a long text needs no more memory than its words.
+SHINGLES_AT_ONCE = 1 << 17
 
 
 def fingerprints(texts: list[str | None], shingle: int) -> np.ndarray:
@@ -37,26 +39,30 @@ def fingerprints(texts: list[str | None], shingle: int) -> np.ndarray:
     often as they occur; a text with fewer words is one shingle, one without words has fingerprint 0."""
     from xxhash import xxh64_intdigest
 
-    hashes, counts = [], []
+    hashes, counts = [np.zeros(0, np.uint64)], []
     for text in texts:
         words = text.encode().lower().split() if text else []
         if len(words) <= shingle:
             if words:
-                hashes.append(xxh64_intdigest(b" ".join(words), SEED))
+                hashes.append(np.array([xxh64_intdigest(b" ".join(words), SEED)], np.uint64))
             counts.append(min(len(words), 1))
             continue
         line = b" ".join(words)
         size = np.fromiter(map(len, words), np.int64, len(words)) + 1
         end = np.cumsum(size) - 1
-        start = end - size + 1
-        hashes += [xxh64_intdigest(line[a:b], SEED) for a, b in zip(start.tolist(), end[shingle - 1 :].tolist())]
-        counts.append(len(words) - shingle + 1)
-    count = np.array(counts, np.int64)
+        start, n = end - size + 1, len(words) - shingle + 1
+        for at in range(0, n, SHINGLES_AT_ONCE):
+            a, b = start[at : min(at + SHINGLES_AT_ONCE, n)].tolist(), end[at + shingle - 1 :][:SHINGLES_AT_ONCE].tolist()
+            hashes.append(np.fromiter((xxh64_intdigest(line[x:y], SEED) for x, y in zip(a, b)), np.uint64, len(a)))
+        counts.append(n)
+    count, every = np.array(counts, np.int64), np.concatenate(hashes)
+    row = np.repeat(np.arange(len(count)), count)
     set_bits = np.zeros((len(count), 64), np.int64)
-    full = count > 0
-    if full.any():
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        set_bits[full] = np.add.reduceat(bits, (np.cumsum(count) - count)[full], axis=0, dtype=np.int64)
+    for at in range(0, len(every), SHINGLES_AT_ONCE):
+        part, own = every[at : at + SHINGLES_AT_ONCE], row[at : at + SHINGLES_AT_ONCE]
+        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        set_bits[own[head]] += np.add.reduceat(bits, head, axis=0, dtype=np.int64)
     return np.packbits(2 * set_bits > count[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
