@@ -150,6 +150,14 @@ def test_simhash_matches_brute_force(docs):
     assert simhash.near_duplicates(docs([]), 3).count() == 0
 
 
+def test_fingerprints_do_not_depend_on_steps(monkeypatch):
+    texts = [" ".join(words(n, n)) for n in (40, 3, 0, 200, 2, 41)] + [None]
+    whole = simhash.fingerprints(texts, 3)
+    for step in (1, 7, 64):
+        monkeypatch.setattr(simhash, "SHINGLES_AT_ONCE", step)
+        assert simhash.fingerprints(texts, 3).tolist() == whole.tolist()
+
+
 def test_golay_code():
     error, near = golay.tables()
     assert sorted(np.bincount([e.bit_count() for e in error.tolist()])) == sorted([1, 23, 253, 1771])
