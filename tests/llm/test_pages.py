@@ -156,6 +156,45 @@ def test_arc_versions(version):
     assert all(archives.item_of(f"<urn:uuid:{archives.record_uuid(i)}>") == i for i in (0, 1, -1, 2**62, -(2**63), 2**63 - 1))
 
 
+def near_by_hand(rows, shingle=5):
+    """doc_id -> the smallest ID reached by steps of Jaccard similarity 0.8 or more."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").lower().split()
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
+    least = [i for i, _ in rows]
+    while True:
+        before = list(least)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                    least[i] = least[j] = min(least[i], least[j])
+        if least == before:
+            return {r[0]: m for r, m in zip(rows, least)}
+
+
+def test_near_duplicate_stage_matches_brute_force(spark, sf):
+    rng = random.Random(3)
+    word, rows = (f"w{i}" for i in range(10**6)), []
+
+    def changed(words, at):
+        return [next(word) if i in at else w for i, w in enumerate(words)]
+
+    common = [next(word) for _ in range(12)]
+    for _ in range(6):  # 198 shingles: of 22 changed ones the similarity is 0.8, of more it is below
+        base = [next(word) for _ in range(190)] + common
+        for at in ([], [20, 60, 100, 140], [20, 60, 100, 1], [20, 60, 100, 140, 1], [20, 60, 100, 140, 2], [20, 60, 100, 140, 170]):
+            rows.append((rng.randrange(10**9), " ".join(changed(base, at))))
+    base = [next(word) for _ in range(120)]
+    rows += [(rng.randrange(10**9), " ".join(changed(base, rng.sample(range(120), rng.randrange(5))))) for _ in range(60)]
+    rows += [(1, None), (2, " "), (3, "one"), (4, "ONE"), (5, "one two"), (6, " ".join(common)), (7, " ".join(common[:11])), (8, "q " * 30), (9, "q " * 50)]
+    want = near_by_hand(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "cast(length(text) AS bigint) AS n_chars").repartition(5)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(i for i, m in want.items() if i == m)
+    assert {r.doc_id: r.text for r in kept} == {i: t for i, t in rows if want[i] == i}
+
+
 def test_pipeline(spark, sf):
     source = spark.read.parquet(f"{sf}/documents.parquet")
     docs, before = source, source.count()
