@@ -6,9 +6,10 @@ often a tag stands outside the article rather than inside, the lower. One linear
 stretch with the largest sum, and its blocks are the text.
 
 Elements that hold no running text by their meaning (scripts, menus, footers, forms, and elements
-whose class, id or role names an advert, a notice or comments) are taken out of the sequence
-before, wherever they stand, so that a stretch can run across an advert in the middle of an
-article without containing it.
+whose class, id or role is the name of an advert, a notice or comments) are taken out of the sequence
+before, so that a stretch can run across an advert in the middle of an article without containing
+it. Inside an article such names leave out comments and adverts only; others lower the score of the
+element's tags. An element that holds the page's article, or most words of a page without one, stays.
 """
 
 from __future__ import annotations
@@ -25,12 +26,20 @@ from pyspark.sql import functions as F
 
 # HTML elements by their role.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select")
-LEFT_OUT = {"head", "nav", "footer", "aside", "form", "menu", "button", "dialog", "search", "label", "fieldset", *RAW}
+RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "select")
+LEFT_OUT = {"head", "nav", "footer", "aside", "form", "menu", "button", "dialog", "search", "label", "fieldset", "annotation", "annotation-xml", *RAW}
+#: Of these, the ones that can hold a whole page.
+CONTAINERS: set[str] = set()
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby",
     "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Formulas: their words count, their tags do not.
+FORMULA = {
+    "math", "semantics", "mrow", "mi", "mo", "mn", "ms", "mtext", "mspace", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "munderover", "mtable", "mtr", "mtd",
+    "mstyle", "mpadded", "mphantom", "menclose", "merror", "mmultiscripts", "mprescripts", "maction",
+}
 CLOSED_BY_BLOCK = {"p"}
 # Words in class, id, role or aria-label that mark what is not the article.
 MARKS = {
@@ -39,6 +48,15 @@ MARKS = {
     "comment", "comments", "commentlist", "disqus", "reply", "replies", "discussion", "related", "recommended", "share", "sharing", "social", "newsletter", "subscribe", "subscription", "signup",
     "login", "search", "form", "widget", "pagination", "pager", "toc", "toolbar", "skip", "copyright", "disclaimer", "legal",
 }
+COMMENTS = {"comment", "comments", "commentlist", "disqus", "reply", "replies"}
+ADVERTS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion"}
+# Words that a name of marks may also hold, as in "site-footer" or "ad-slot-1".
+PLACES = {
+    "site", "page", "main", "global", "top", "bottom", "left", "right", "primary", "secondary", "container", "wrapper", "wrap", "box", "block", "area", "list", "section", "item", "items",
+    "link", "links", "bar", "slot", "unit", "panel", "buttons", "button", "icons", "thread", "id",
+}
+# Why an element is left out: its name, its name though it may hold a page, class or id, comments, hidden.
+NAMED, CONTAINER, MARKED, COMMENT, HIDDEN = range(1, 6)
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
     rf"|<({'|'.join(RAW)})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)"
@@ -50,17 +68,25 @@ _ATTRIBUTE = re.compile(r"""(?i)(?:^|[\s"'/])(class|id|role|aria-label|hidden|ar
 TAG_CEILING, TAG_FLOOR = -0.02, -12.0
 
 
-def _marked(attributes: str, within: bool) -> bool:
-    """Do the attributes say that the element is not part of an article? Heads of one may be."""
+def _mark(attributes: str, heading: bool) -> str:
+    """``hidden``, the mark that a whole class, id, role or label consists of, or nothing.
+
+    A heading's id is the name of its section and marks nothing."""
     if "=" not in attributes and "hidden" not in attributes.lower():
-        return False
+        return ""
+    found = ""
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name != "aria-hidden" and any(w in MARKS and not (within and w == "header") for w in re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            return "hidden"
+        if name == "aria-hidden" or name == "id" and heading:
+            continue
+        for whole in value.split() if name in ("class", "role") else [value]:
+            parts = [w for w in re.split(r"[^a-z]+", whole) if w]
+            marks = [w for w in parts if w in MARKS]
+            if marks and all(w in MARKS or w in PLACES for w in parts):
+                found = next((w for w in marks if w in COMMENTS or w in ADVERTS), found or marks[0])
+    return found
 
 
 def page_tokens(page: str) -> list[tuple[str, str, bool]]:
@@ -68,40 +94,45 @@ def page_tokens(page: str) -> list[tuple[str, str, bool]]:
 
     ``inside`` tells whether the token lies in an ``article`` or ``main`` element. Left-out elements
     give no tokens. An element that is never closed ends with its parent, a paragraph with the next
-    block. A ``header`` inside the article belongs to it. An element that is left out for its class
-    is taken back when the page's first article turns out to stand in it.
+    block. A ``header`` or ``label`` inside the article belongs to it, and an element with a mark
+    there that is neither comments nor advert has the tag ``name.mark``. An element that is left out
+    for its class, or a container such as a form, is taken back when the page's first article stands
+    in it, or when most words of the page do and it is not beside an article; comments inside an
+    article only when it has no other words.
     """
     tokens: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, int]] = []  # open elements; 1: left out by name, 2: by class
-    out = depth = at = articles = 0
+    stack: list[tuple[str, str, list | None]] = []  # open elements: name, tag, left-out span
+    spans: list[list] = []  # [first token, end, why, inside, holds the first article]
+    depth = at = articles = 0
 
     def close(n: int) -> None:
-        nonlocal out, depth
+        nonlocal depth
         while len(stack) > n:
-            name, left = stack.pop()
-            out -= bool(left)
+            name, tag, span = stack.pop()
             if name in ("article", "main"):
                 depth -= 1
-            if not out and not left:
-                tokens.append(("tag", f"/{name}", depth > 0))
+            tokens.append(("tag", f"/{tag}", depth > 0))
+            if span:
+                span[1] = len(tokens)
 
     for m in _MARKUP.finditer(page):
-        if m.start() > at and not out:
+        if m.start() > at:
             tokens.append(("text", entities.unescape(page[at : m.start()]), depth > 0))
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
-            if not out and not m[0].startswith("<!"):
+            if not m[0].startswith("<!"):
                 tokens.append(("tag", "br", depth > 0))
             continue
+        if name in FORMULA:
+            continue
         if m[2]:
             n = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-            if n >= 0 and not any(left and stack[i][0] != name for i, (_, left) in enumerate(stack) if i > n and name in INLINE):
+            if n >= 0 and not any(span and not span[4] and stack[i][0] != name for i, (_, _, span) in enumerate(stack) if i > n and name in INLINE):
                 close(n)
             continue
         if name in VOID:
-            if not out:
-                tokens.append(("tag", name, depth > 0))
+            tokens.append(("tag", name, depth > 0))
             continue
         if name not in INLINE and stack:
             n = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), -1)
@@ -109,24 +140,59 @@ def page_tokens(page: str) -> list[tuple[str, str, bool]]:
                 close(n)
         if m[0].endswith("/>") and name not in ("p", "div"):
             continue
-        attributes = m[4] or ""
-        left = int(name in LEFT_OUT or name == "header" and not depth)
-        if not left and name not in ("html", "body", "article", "main") and _marked(attributes, depth > 0):
-            left = 2
+        tag, why = name, 0
+        if name in LEFT_OUT and not (name == "label" and depth) or name == "header" and not depth:
+            why = CONTAINER if name in CONTAINERS else NAMED
+        elif name not in ("html", "body", "article", "main"):
+            mark = _mark(m[4] or "", name in HEADINGS)
+            if mark == "hidden":
+                why = HIDDEN
+            elif mark in COMMENTS:
+                why = COMMENT
+            elif mark and (not depth or mark in ADVERTS):
+                why = MARKED
+            elif mark and mark != "header":
+                tag = f"{name}.{mark}"
         if name in ("article", "main"):
             if not articles:
-                stack[:] = [(n, 0 if k == 2 else k) for n, k in stack]
-                out = sum(map(bool, (k for _, k in stack)))
+                for _, _, span in stack:
+                    if span and span[2] != NAMED:
+                        span[4] = True
             articles += 1
-        if not out and not left:
-            tokens.append(("tag", name, depth > 0 or name in ("article", "main")))
-        stack.append((name, left))
-        out += bool(left)
+        span = [len(tokens), 0, why, depth > 0, False] if why else None
+        if span:
+            spans.append(span)
+        tokens.append(("tag", tag, depth > 0 or name in ("article", "main")))
+        stack.append((name, tag, span))
         depth += name in ("article", "main")
-    if at < len(page) and not out:
+    if at < len(page):
         tokens.append(("text", entities.unescape(page[at:]), depth > 0))
     close(0)
-    return tokens
+    return _without(tokens, spans) if spans else tokens
+
+
+def _without(tokens: list[tuple[str, str, bool]], spans: list[list]) -> list[tuple[str, str, bool]]:
+    """The tokens outside the spans that are left out in the end."""
+    shown, reached = [True] * len(tokens), 0
+    for start, end, why, _, holds in spans:
+        if why == NAMED or why == HIDDEN and not holds:
+            shown[max(start, reached) : end] = [False] * max(0, end - max(start, reached))
+            reached = max(reached, end)
+    words, of_article = [0], 0
+    for (kind, value, inside), seen in zip(tokens, shown):
+        n = len(value.split()) if seen and kind == "text" else 0
+        words.append(words[-1] + n)
+        of_article += n if inside else 0
+    reached = 0
+    for start, end, why, inside, holds in spans:
+        own = words[end] - words[start]
+        most = 2 * own > words[-1] and (inside or not of_article)
+        if why == COMMENT and inside:
+            most = own and own == of_article
+        if why in (CONTAINER, MARKED, COMMENT) and not holds and not most and end > reached:
+            shown[max(start, reached) : end] = [False] * (end - max(start, reached))
+            reached = end
+    return [t for t, seen in zip(tokens, shown) if seen]
 
 
 def tag_weights(inside: Counter, outside: Counter) -> dict[str, float]:
@@ -159,17 +225,23 @@ def blocks_of(tokens: list[tuple[str, str, bool]]) -> str:
             held.append(value)
         elif value == "br":
             held.append(" ")
-        elif value.lstrip("/") not in INLINE:
+        elif value.lstrip("/").partition(".")[0] not in INLINE:
             blocks.append("".join(held))
             held = []
     blocks.append("".join(held))
     return "\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)
 
 
+def tag_score(tag: str, weights: dict[str, float], unknown: float) -> float:
+    """The weight learned for the tag; a mark that was not seen costs one more than the tag without it."""
+    bare, _, mark = tag.partition(".")
+    return weights.get(tag, weights.get(bare, unknown) - 1.0 if mark else unknown)
+
+
 def main_text(page: str, weights: dict[str, float], unknown: float = -1.0) -> str:
     """The text of the page's best stretch; empty if it has no words outside left-out elements."""
     tokens = page_tokens(page)
-    scores = [float(len(v.split())) if k == "text" else weights.get(v, unknown) for k, v, _ in tokens]
+    scores = [float(len(v.split())) if k == "text" else tag_score(v, weights, unknown) for k, v, _ in tokens]
     start, end = best_stretch(scores)
     return blocks_of(tokens[start:end])
 

@@ -108,6 +108,28 @@ def test_main_text(spark):
     assert main_text.extract_main_text(pages.limit(0)).count() == 0
 
 
+WEIGHTS = {t: -0.02 for x in ("p", "h1", "h2", "section", "div", "a", "article", "form") for t in (x, f"/{x}")}
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<section id="discussion"><p>kept words here now</p></section>', '<h2 id="related-work">kept words here now</h2>', '<h2 id="legal-status">kept words here now</h2>',
+        '<h2 id="search-algorithms">kept words here now</h2>', '<h2 id="form-of-government">kept words here now</h2>', '<p><a class="social-link">kept words here now</a></p>',
+        "<p><label>kept words here now</label></p>", "<p>kept <math><mi>words</mi> <mtext>here</mtext></math> now</p>",
+    ],
+)
+def test_names_inside_an_article_remove_no_text(part):
+    page = f"<body><article><p>Some words that come before it</p>{part}<p>and more words after</p></article></body>"
+    assert main_text.main_text(page, WEIGHTS) == "Some words that come before it\nkept words here now\nand more words after"
+
+
+@pytest.mark.parametrize("name", ['class="no-sidebar"', 'id="page-with-sidebar"', 'class="sidebar"'])
+def test_a_wrapper_with_most_words_stays(name):
+    page = f'<body><nav>Home</nav><div {name}><p>All the text of the page</p><div class="cookie-notice">We use cookies</div></div><div class="sidebar"><p>Aside it</p></div></body>'
+    assert main_text.main_text(page, WEIGHTS) == "All the text of the page"
+
+
 def test_given_pages_give_their_articles(spark, sf):
     import html
     import re
