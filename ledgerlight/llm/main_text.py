@@ -29,7 +29,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "select")
 LEFT_OUT = {"head", "nav", "footer", "aside", "form", "menu", "button", "dialog", "search", "label", "fieldset", "annotation", "annotation-xml", *RAW}
 #: Of these, the ones that can hold a whole page.
-CONTAINERS: set[str] = set()
+CONTAINERS = {"form", "fieldset", "search", "label", "dialog"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby",
     "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",

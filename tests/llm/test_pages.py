@@ -130,6 +130,14 @@ def test_a_wrapper_with_most_words_stays(name):
     assert main_text.main_text(page, WEIGHTS) == "All the text of the page"
 
 
+@pytest.mark.parametrize("name", ["form", "fieldset", "search", "label", "dialog"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_a_container_around_the_page_stays(name, inner):
+    page = f"<body><{name}><nav>Home</nav><{inner}><p>All the text of the page</p></{inner}><fieldset>Your name <input><button>Send</button></fieldset></{name}></body>"
+    assert main_text.main_text(page, WEIGHTS) == "All the text of the page"
+    assert main_text.main_text("<body><p>All the text of the page</p><form>Your name</form></body>", WEIGHTS) == "All the text of the page"
+
+
 def test_given_pages_give_their_articles(spark, sf):
     import html
     import re
