@@ -154,10 +154,11 @@ def judge_urls(
     members = scratch.keep(connected_components(edges), "url-members")
 
     known = edges.select(F.col("u").alias("address"), F.col("src").alias("url")).unionByName(edges.select(F.col("v").alias("address"), F.col("dst").alias("url")))
-    places = with_parts(known.groupBy("address").agg(F.min("url").alias("url")), "url", "host", "path")
-    ruled = match_rules(places, rules, "address", "host", "path").select(F.col("key").alias("vertex"), "decision")
+    # One address has several spellings (``http://a.com``, ``http://a.com/``) with paths of their own.
+    places = with_parts(known.distinct(), "url", "host", "path").select("address", "host", "path").distinct().withColumn("place", F.struct("address", "host", "path"))
+    ruled = match_rules(places, rules, "place", "host", "path").select(F.col("key.address").alias("vertex"), "decision")
     decided = (
-        members.join(ruled, "vertex")
+        members.join(ruled.groupBy("vertex").agg(F.min("decision").alias("decision")), "vertex")
         .groupBy("component")
         .agg(F.min("decision").alias("decision"))  # allow comes before block
     )

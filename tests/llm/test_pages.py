@@ -64,6 +64,17 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.judge_urls(pages, []).collect()} == {"allow"}
 
 
+def test_every_spelling_of_an_address_counts(spark):
+    from ledgerlight.llm.plans import URL_RULES
+
+    pages = spark.createDataFrame(
+        [(1, "http://a.com", '<link rel="canonical" href="http://b.net/es/1">'), (2, "http://a.com/", '<link rel="canonical" href="http://c.org/x">')],
+        "page_id long, url string, html string",
+    )
+    got = {r.page_id: (r.verdict, r.source) for r in url_filter.judge_urls(pages, URL_RULES).collect()}
+    assert got == {1: ("allow", "alias"), 2: ("allow", "rule")}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     vectors = [(int(i), [float(x) for x in rng.normal(0, 0.3, 12)]) for i in range(300)]
