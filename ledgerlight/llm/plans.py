@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import archives, decontamination, language, main_text, packing, repeats, sharding, simhash, topk, url_filter
+from ledgerlight.llm import archives, decontamination, language, main_text, packing, private_data, repeats, sharding, simhash, spelling, topk, url_filter, vector_codes
 
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
@@ -79,14 +79,53 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_block_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return done.rows.select("vec_id", "code", "error", "label_error", F.lit(done.digest()).alias("codebooks_sha256"))
+
+
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), least_length=7, least_count=2, noise=31)
+    return spelling.spelling_groups(words, ratio=10).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = private_data.find_private_data(table(spark, sf_dir, "documents"))
+    counts = [private_data.count_of(F.col("base"), k).alias(f"n_{name}") for k, name in enumerate(private_data.KINDS)]
+    return done.select("doc_id", *counts, F.sha2(F.encode(private_data.joined(F.col("base")), "UTF-8"), 256).alias("base_sha256"), private_data.joined(F.col("spans")).alias("spans"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_redirect_filter, op2_suffix_dedup, op3_language_id, op4_simhash_golay, op5_block_topk, op6_hilbert_packing,
-    op7_external_shuffle, op8_main_text, op9_arc_to_warc, op10_fm_decontamination,
+    op7_external_shuffle, op8_main_text, op9_arc_to_warc, op10_fm_decontamination, op11_block_codes, op12_spelling_groups,
+    op13_bootstrapped_pii,
 )}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _REST = "CASE WHEN contains({0}, '://') THEN substr({0}, strpos({0}, '://') + 3) ELSE '' END"
 
+def _code_sql(parts: int, entries: int, rounds: int) -> str:
+    """Every round as tables of its own: distances to all entries, the nearest, floors of the means."""
+    far = "CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS BIGINT)"
+    steps = [f"""kept AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r
+  FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+cut AS MATERIALIZED (SELECT r, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) t(p)),
+book0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM cut WHERE r <= {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"near{k} AS MATERIALIZED (SELECT p, r, any_value(x) AS x, min({{'d': {far}, 'e': e}}) AS best FROM cut JOIN book{k} USING (p) GROUP BY p, r)")
+        if k < rounds:
+            steps.append(f"""means{k} AS MATERIALIZED (
+  SELECT p, e, list((s - (s % n + n) % n) // n ORDER BY i) AS c
+  FROM (SELECT p, e, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT p, best.e AS e, x, unnest(range(1, len(x) + 1)) AS i FROM near{k}) GROUP BY p, e, i) GROUP BY p, e),
+book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(means{k}.c, book{k}.c) AS c FROM book{k} LEFT JOIN means{k} USING (p, e))""")
+    return f"""WITH {", ".join(steps)},
+coded AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near{rounds} GROUP BY r),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), digest"""
+
+
 ORACLES = {
     "op1_redirect_filter": rf"""
 WITH RECURSIVE rules(verdict, rule, h, p) AS (
@@ -169,4 +208,31 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_block_codes": _code_sql(parts=8, entries=16, rounds=6),
+    "op12_spelling_groups": rf"""
+WITH RECURSIVE crc_steps AS (
+  SELECT list(c ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, {_LOWER.format("run")} AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{7,}}')) AS run FROM documents) GROUP BY ALL),
+bytes AS (SELECT *, hex(encode(id || ':' || run)) AS x FROM runs),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda k: CAST('0x' || substr(x, CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM bytes, crc_steps),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) + 2 AS BIGINT)) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS m FROM cuts a JOIN cuts b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT cuts.word, words.word, words.n FROM cuts JOIN words ON d = words.word
+  UNION SELECT words.word, cuts.word, cuts.n FROM cuts JOIN words ON d = words.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m, first(near ORDER BY m DESC, near) AS near FROM near GROUP BY word),
+forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN near END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+chain(word, leads) AS (SELECT word, word FROM forms UNION ALL SELECT chain.word, form FROM chain JOIN forms ON forms.word = chain.leads WHERE form IS NOT NULL),
+roots AS (SELECT chain.word, leads AS root FROM chain JOIN forms ON forms.word = chain.leads WHERE form IS NULL)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM forms JOIN roots USING (word)""",
 }
