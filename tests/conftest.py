@@ -29,7 +29,3 @@ def spark(tmp_path_factory):
 @pytest.fixture
 def sf():
     return SF
-
-
-def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()

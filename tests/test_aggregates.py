@@ -1,5 +1,5 @@
 import pytest
-from conftest import plan
+from helpers import plan
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

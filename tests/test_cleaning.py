@@ -1,7 +1,7 @@
 from datetime import date
 
 import pytest
-from conftest import plan
+from helpers import plan
 from pyspark.sql import functions as F
 
 from ledgerlight.operators import cleaning as c

@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import plan
+from helpers import plan
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
