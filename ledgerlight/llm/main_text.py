@@ -57,10 +57,12 @@ PLACES = {
 }
 # Why an element is left out: its name, its name though it may hold a page, class or id, comments, hidden.
 NAMED, CONTAINER, MARKED, COMMENT, HIDDEN = range(1, 6)
+# A quote delimits a value only directly after "="; one that is never closed, or stands elsewhere, is a character.
+_INSIDE = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+"
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    rf"|<({'|'.join(RAW)})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)",
+    rf"|<({'|'.join(RAW)})\b{_INSIDE}>.*?(?:</\1\s*>|$)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({_INSIDE})(?:>|$)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""(?i)(?:^|[\s"'/])(class|id|role|aria-label|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/"'>]|$)""")
@@ -103,12 +105,14 @@ def page_tokens(page: str) -> list[tuple[str, str, bool]]:
     tokens: list[tuple[str, str, bool]] = []
     stack: list[tuple[str, str, list | None]] = []  # open elements: name, tag, left-out span
     spans: list[list] = []  # [first token, end, why, inside, holds the first article]
+    named: Counter = Counter()  # open elements by name, so that a closing tag without one costs nothing
     depth = at = articles = 0
 
     def close(n: int) -> None:
         nonlocal depth
         while len(stack) > n:
             name, tag, span = stack.pop()
+            named[name] -= 1
             if name in ("article", "main"):
                 depth -= 1
             tokens.append(("tag", f"/{tag}", depth > 0))
@@ -127,6 +131,8 @@ def page_tokens(page: str) -> list[tuple[str, str, bool]]:
         if name in FORMULA:
             continue
         if m[2]:
+            if not named[name]:
+                continue
             n = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
             if n >= 0 and not any(span and not span[4] and stack[i][0] != name for i, (_, _, span) in enumerate(stack) if i > n and name in INLINE):
                 close(n)
@@ -164,6 +170,7 @@ def page_tokens(page: str) -> list[tuple[str, str, bool]]:
             spans.append(span)
         tokens.append(("tag", tag, depth > 0 or name in ("article", "main")))
         stack.append((name, tag, span))
+        named[name] += 1
         depth += name in ("article", "main")
     if at < len(page):
         tokens.append(("text", entities.unescape(page[at:]), depth > 0))
@@ -263,9 +270,9 @@ def learn_weights(pages: DataFrame, html: str = "html", page_id: str = "page_id"
         for batch in batches:
             for page in batch.column(0).to_pylist():
                 seen.update((v, i) for k, v, i in page_tokens(page) if k == "tag")
-        yield pa.RecordBatch.from_pydict({"tag": [k[0][:40] for k in seen], "inside": [k[1] for k in seen], "n": list(seen.values())}, schema=pa.schema([("tag", pa.string()), ("inside", pa.bool_()), ("n", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"tag": [k[0] for k in seen], "inside": [k[1] for k in seen], "n": list(seen.values())}, schema=pa.schema([("tag", pa.string()), ("inside", pa.bool_()), ("n", pa.int64())]))
 
-    counted = sample.mapInArrow(count, "tag string, inside boolean, n long").groupBy("tag", "inside").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "tag", "inside").limit(5_000).collect()
+    counted = sample.mapInArrow(count, "tag string, inside boolean, n long").groupBy("tag", "inside").agg(F.sum("n").alias("n")).collect()
     inside, outside = Counter(), Counter()
     for r in counted:
         (inside if r["inside"] else outside)[r["tag"]] += r["n"]

@@ -45,7 +45,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3).drop("given")
 
 
 def op5_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op5_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), length=4096, end_id=2).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), length=4096, end_id=2, keep_ids=False).drop("ids")
 
 
 def op7_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -315,7 +315,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marks = scratch.keep(copies.select(F.pmod(F.xxhash64("doc_id", "digest"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "digest"), "copy-marks")
     scratch.drop(copies)
     # The answers a block gets are one table: copies to leave out (owner -1) and payloads by owner.
-    left_out = marks.select("block", F.lit(-1).alias("owner"), F.to_binary(F.concat_ws(":", F.col("doc_id"), F.col("digest")), F.lit("utf-8")).alias("payload"))
+    left_out = marks.select("block", F.lit(-1).cast("bigint").alias("owner"), F.to_binary(F.concat_ws(":", F.col("doc_id"), F.col("digest")), F.lit("utf-8")).alias("payload"))
     content = table.select("block", "doc_id", "digest", "text", *extra)
 
     def block_of(rows: pa.Table, answers: pa.Table) -> tuple[Block, list[bytes]]:
@@ -328,8 +328,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return block, copy
 
     def only(answers: pa.Table, stage: int) -> dict[int, bytes]:
-        """Answers of a stage: its owners are numbered from stage << 20."""
-        return {o - (stage << 20): p for o, p in _answers(answers).items() if o >> 20 == stage}
+        """Answers of a stage: its owners are numbered from stage << 40, so no number of owners reaches the next."""
+        return {o - (stage << 40): p for o, p in _answers(answers).items() if o >> 40 == stage}
 
     def ask_anchors(rows: pa.Table, answers: pa.Table) -> pa.Table:
         block = rows.column("block")[0].as_py() if rows.num_rows else 0
@@ -379,7 +379,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.Table.from_arrays(columns, names=names)
 
     def with_stage(stored: DataFrame, stage: int) -> DataFrame:
-        return stored.select("block", (F.col("owner") + F.lit(stage << 20)).alias("owner"), "payload")
+        return stored.select("block", (F.col("owner") + F.lit(stage << 40)).alias("owner"), "payload")
 
     by_block = content.groupBy("block")
     asked = by_block.cogroup(left_out.groupBy("block")).applyInArrow(ask_anchors, "owner int, block int, payload binary")

@@ -79,17 +79,20 @@ def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.stack(stored, axis=1), [r[f] for r, f in zip(rows, first)]
 
 
-def fingerprint_documents(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp long): the fingerprint's 64 bits as a signed number."""
-    picked = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+def fingerprint_documents(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp long, given): the fingerprint's 64 bits as a signed number, and the columns ``carry`` as a struct."""
+    given = F.struct(*carry) if carry else F.lit(None).cast("boolean")
+    picked = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), given.alias("given"))
+    schema = picked.select("doc_id", F.lit(0).cast("bigint").alias("fp"), "given").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.enter("simhash")
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(part.column("text").to_pylist(), shingle).view(np.int64))], names=["doc_id", "fp"])
+                fp = fingerprints(part.column("text").to_pylist(), shingle).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp), part.column("given")], names=["doc_id", "fp", "given"])
 
-    return picked.mapInArrow(run, "doc_id long, fp long")
+    return picked.mapInArrow(run, schema)
 
 
 def near_links(prints: DataFrame) -> DataFrame:
@@ -118,24 +121,27 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id, n_links): every row's fingerprint and the smallest ID it reaches.
+def near_duplicates(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fingerprint, component_id, group, n_links, given): every row's fingerprint and the smallest ID it reaches.
 
-    ``n_links`` counts the other distinct fingerprints linked to the row's own. Null and blank texts
-    share fingerprint 0. Rows with equal IDs are rows of their own that reach each other only by
-    fingerprint; a null ID is never the smallest unless its whole component has none. Only the ID
-    and text are read.
+    ``group`` is the smallest fingerprint of the component, which tells components apart also where
+    IDs are repeated. ``n_links`` counts the other distinct fingerprints linked to the row's own.
+    Null and blank texts share fingerprint 0. Rows with equal IDs are rows of their own that reach
+    each other only by fingerprint; a null ID is never the smallest unless its whole component has
+    none. Columns of ``carry`` are returned in the struct ``given``; no others are read.
     """
-    rows = scratch.keep(fingerprint_documents(docs, shingle, doc_id, text), "fingerprints")
+    rows = scratch.keep(fingerprint_documents(docs, shingle, doc_id, text, carry), "fingerprints")
     distinct = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     links = near_links(distinct)
     degree = links.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     members = scratch.keep(connected_components(links).select(F.col("vertex").alias("fp"), "component"), "simhash-members")
-    least = members.join(distinct, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = members.join(least, "component").select("fp", "component_id")
+    # Stored, so that both sides of the next join are plain shuffles and a huge component can be split.
+    least = scratch.keep(members.join(distinct, "fp").groupBy("component").agg(F.min("least").alias("component_id")), "simhash-least")
+    linked = members.join(least, "component").select("fp", "component", "component_id")
     found = scratch.keep(
         distinct.join(linked, "fp", "left").join(degree, "fp", "left").select(
-            F.col("fp"), F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+            "fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "fp").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links")
         ), "simhash-classes"
     )
-    return rows.join(found, "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id", "n_links")
+    joined = rows.join(found, "fp")
+    return joined.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id", hex_of(F.col("group")).alias("group"), "n_links", "given")

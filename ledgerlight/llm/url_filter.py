@@ -85,7 +85,7 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         F.col("src").isNotNull() & F.col("html").rlike(r"(?i)canonical|refresh")
     )
     visible = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", " ")
-    tags = marked.select("src", F.explode(F.regexp_extract_all(visible, F.lit(r"(?is)<(?:link|meta)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>"), 0)).alias("tag"))
+    tags = marked.select("src", F.explode(F.regexp_extract_all(visible, F.lit(r"(?is)<(?:link|meta)\b(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>"), 0)).alias("tag"))
 
     def attribute(name: str) -> Column:
         found = F.regexp_extract("tag", rf"(?is)[\s\"'/]{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
@@ -157,10 +157,12 @@ def judge_urls(
     # One address has several spellings (``http://a.com``, ``http://a.com/``) with paths of their own.
     places = with_parts(known.distinct(), "url", "host", "path").select("address", "host", "path").distinct().withColumn("place", F.struct("address", "host", "path"))
     ruled = match_rules(places, rules, "place", "host", "path").select(F.col("key.address").alias("vertex"), "decision")
-    decided = (
+    # Stored, so that both sides of the next join are plain shuffles and a huge component can be split.
+    decided = scratch.keep(
         members.join(ruled.groupBy("vertex").agg(F.min("decision").alias("decision")), "vertex")
         .groupBy("component")
-        .agg(F.min("decision").alias("decision"))  # allow comes before block
+        .agg(F.min("decision").alias("decision")),  # allow comes before block
+        "url-decided",
     )
     inherited = members.join(decided, "component").select(F.col("vertex").alias("address"), F.col("component").alias("alias"), F.col("decision").alias("inherited"))
 

@@ -5,7 +5,6 @@ import random
 import numpy as np
 import pytest
 
-import corpus_pipeline
 from ledgerlight.llm import archives, main_text, plans, topk, url_filter
 from ledgerlight.llm.components import connected_components
 
@@ -75,6 +74,24 @@ def test_every_spelling_of_an_address_counts(spark):
     assert got == {1: ("allow", "alias"), 2: ("allow", "rule")}
 
 
+def test_long_and_broken_tags_are_read_without_recursion(spark):
+    pages = [
+        (1, "http://a.net/fr/1", f"<link rel=canonical data-x={'y' * 300_000} href='http://a.org/1'>"),
+        (2, "http://a.org/1", "<link " + "a='b' " * 100_000 + ">"),
+        (3, "http://b.org/1", "<link rel=canonical href='http://a.org/1" + "z" * 300_000),
+    ]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(frame, plans.URL_RULES).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow"}
+
+
+def test_a_component_with_half_of_the_vertices(spark):
+    rows = [(i, f"http://h.org/{i}", "<link rel=canonical href='http://x.net/fr/0'>" if i % 2 else "") for i in range(400)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(frame, plans.URL_RULES).collect()}
+    assert got == {i: "block" if i % 2 else "allow" for i in range(400)}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     vectors = [(int(i), [float(x) for x in rng.normal(0, 0.3, 12)]) for i in range(300)]
@@ -149,6 +166,32 @@ def test_a_container_around_the_page_stays(name, inner):
     assert main_text.main_text("<body><p>All the text of the page</p><form>Your name</form></body>", WEIGHTS) == "All the text of the page"
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><p data-x=it's>Main text that doesn't end here, it's long.</p></article>", "Main text that doesn't end here, it's long."),
+    ('<article><p>See <a href="x>link</a> and more of the text</p></article>', "See link and more of the text"),
+    ('<article><p title="a > b">Words of the first block</p><p class=x\'y>and of the second</p></article>', "Words of the first block\nand of the second"),
+    ("<article><p>One two three</p></b></div></i><p>four five six</p></article>", "One two three\nfour five six"),
+])
+def test_odd_quotes_and_stray_closers_lose_nothing(page, text):
+    assert main_text.main_text(page, {}) == text
+
+
+def test_time_is_linear_in_a_broken_page():
+    import time
+
+    for page in ("<div>" * 30_000 + "</x>" * 200_000, "<p a='" * 200_000, "<a b=" + "c" * 1_000_000 + ">x", "<a " + "b='c' " * 200_000 + ">x", "<script>" + "</scrip" * 200_000):
+        began = time.time()
+        main_text.main_text(page, {})
+        assert time.time() - began < 20
+
+
+def test_every_tag_of_the_labelled_pages_gets_a_weight(spark):
+    name = "x" + "y" * 100
+    pages = spark.createDataFrame([(i, f"<nav><{name}>menu</{name}></nav><article><p>text {i}</p><{name}a>b</{name}a></article>") for i in range(20)], "page_id long, html string")
+    weights = main_text.learn_weights(pages)
+    assert f"{name}a" in weights and "p" in weights
+
+
 def test_given_pages_give_their_articles(spark, sf):
     import html
     import re
@@ -197,60 +240,6 @@ def test_arc_versions(version):
     assert all(archives.item_of(f"<urn:uuid:{archives.record_uuid(i)}>") == i for i in (0, 1, -1, 2**62, -(2**63), 2**63 - 1))
 
 
-def near_by_hand(rows, shingle=5):
-    """doc_id -> the smallest ID reached by steps of Jaccard similarity 0.8 or more."""
-    sets = []
-    for _, text in rows:
-        w = (text or "").lower().split()
-        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
-    least = [i for i, _ in rows]
-    while True:
-        before = list(least)
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if a == b or 5 * len(a & b) >= 4 * len(a | b):
-                    least[i] = least[j] = min(least[i], least[j])
-        if least == before:
-            return {r[0]: m for r, m in zip(rows, least)}
-
-
-def test_near_duplicate_stage_matches_brute_force(spark, sf):
-    rng = random.Random(3)
-    word, rows = (f"w{i}" for i in range(10**6)), []
-
-    def changed(words, at):
-        return [next(word) if i in at else w for i, w in enumerate(words)]
-
-    common = [next(word) for _ in range(12)]
-    for _ in range(6):  # 198 shingles: of 22 changed ones the similarity is 0.8, of more it is below
-        base = [next(word) for _ in range(190)] + common
-        for at in ([], [20, 60, 100, 140], [20, 60, 100, 1], [20, 60, 100, 140, 1], [20, 60, 100, 140, 2], [20, 60, 100, 140, 170]):
-            rows.append((rng.randrange(10**9), " ".join(changed(base, at))))
-    base = [next(word) for _ in range(120)]
-    rows += [(rng.randrange(10**9), " ".join(changed(base, rng.sample(range(120), rng.randrange(5))))) for _ in range(60)]
-    rows += [(1, None), (2, " "), (3, "one"), (4, "ONE"), (5, "one two"), (6, " ".join(common)), (7, " ".join(common[:11])), (8, "q " * 30), (9, "q " * 50)]
-    want = near_by_hand(rows)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "cast(length(text) AS bigint) AS n_chars").repartition(5)
-    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(i for i, m in want.items() if i == m)
-    assert {r.doc_id: r.text for r in kept} == {i: t for i, t in rows if want[i] == i}
-
-
-def test_pipeline(spark, sf):
-    source = spark.read.parquet(f"{sf}/documents.parquet")
-    docs, before = source, source.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf)
-        assert docs.columns == source.columns and docs.dtypes == source.dtypes, name
-        after = docs.count()
-        assert 0 < after <= before, name
-        before = after
-    assert docs.count() == docs.select("doc_id").distinct().count()
-    pieces = corpus_pipeline.run(spark, sf)
-    assert pieces.select("doc_id").distinct().count() == before
-    assert {name for name, _ in corpus_pipeline.STAGES} == {"language_id", "simhash_near_dedup", "suffix_array_dedup", "benchmark_decontamination", "packing"}
-
-
 def test_queries_equal_their_sql(spark, sf):
     from check_queries import compare, connect
 
