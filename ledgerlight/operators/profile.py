@@ -6,9 +6,11 @@ is scanned once per report (twice where bounds are needed first), not once per c
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,46 +79,89 @@ def shape_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*out)))
 
 
-def corr_matrix(df: DataFrame, cols: Sequence[str], pairs_per_pass: int = 200) -> DataFrame:
-    """Pearson correlation of every pair of columns as rows (x, y, corr), both orders and x = y.
+_MOMENTS = ("n", "mean_x", "mean_y", "xx", "yy", "xy", "low_x", "high_x", "low_y", "high_y")
+
+
+def _gram(values: np.ndarray) -> dict[str, np.ndarray]:
+    """Moments of every pair of columns over the rows where both are present (k x k each).
+
+    ``xx[i, j]`` is the sum of squared deviations of column i, ``xy[i, j]`` that of the products."""
+    there = ~np.isnan(values)
+    mask, shift = there.astype(float), np.array([c[m].mean() if m.any() else 0.0 for c, m in zip(values.T, there.T)])
+    x = np.where(there, values - shift, 0.0)
+    n = mask.T @ mask
+    some = np.maximum(n, 1)
+    sums = x.T @ mask  # [i, j]: sum of column i where j is present too
+    squares, products = (x * x).T @ mask, x.T @ x
+    mean = sums / some
+    low = np.stack([np.where(there & m[:, None], values, np.inf).min(axis=0, initial=np.inf) for m in there.T], axis=1)
+    high = np.stack([np.where(there & m[:, None], values, -np.inf).max(axis=0, initial=-np.inf) for m in there.T], axis=1)
+    return {
+        "n": n, "mean_x": mean + shift[:, None], "mean_y": (mean + shift[:, None]).T, "xx": squares - some * mean * mean, "yy": (squares - some * mean * mean).T,
+        "xy": products - some * mean * mean.T, "low_x": low, "high_x": high, "low_y": low.T, "high_y": high.T,
+    }
 
-    A pair uses the rows where both values are present. The correlation is null where one of the
-    two is constant there.
 
-    A first small job counts values and finds constants. ``corr`` divides by zero for a constant,
-    so a pair that involves missing values, and so could be constant on its common rows only,
-    takes a guarded form of three aggregates; all other pairs take the plain one, which is about
-    eight times as fast for six columns. Many columns take several passes of ``pairs_per_pass``
-    aggregates each, because a stage of thousands is too large to compile.
+def _merged(parts: Mapping[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Moments of the union of disjoint sets of rows; the first axis runs over the sets."""
+    n = parts["n"].sum(axis=0)
+    some = np.maximum(n, 1)
+    out = {"n": n} | {m: (parts["n"] * parts[m]).sum(axis=0) / some for m in ("mean_x", "mean_y")}
+    dx, dy = parts["mean_x"] - out["mean_x"], parts["mean_y"] - out["mean_y"]
+    for m, a, b in (("xx", dx, dx), ("yy", dy, dy), ("xy", dx, dy)):
+        out[m] = parts[m].sum(axis=0) + (parts["n"] * a * b).sum(axis=0)
+    return out | {f"low_{s}": parts[f"low_{s}"].min(axis=0) for s in "xy"} | {f"high_{s}": parts[f"high_{s}"].max(axis=0) for s in "xy"}
+
+
+def pair_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(i, j, moments) per pair of columns and task, i <= j: partial results that add up.
+
+    They can be stored per day and merged later by :func:`corr_from_moments`.
     """
     cols = list(cols)
-    values = [finite_or_null(df, c).cast("double") for c in cols]
-    checks = [F.struct(F.count(v).alias("n"), (F.min(v) < F.max(v)).alias("varies")) for v in values]
-    total, *found = df.agg(F.count(F.lit(1)), *checks).first()
-
-    def pair(i: int, j: int) -> Column:
-        if not (found[i]["varies"] and found[j]["varies"]):
-            return F.lit(None).cast("double")
-        if i == j:
-            return F.lit(1.0)
-        a, b = values[i], values[j]
-        if found[i]["n"] == found[j]["n"] == total:
-            return F.corr(a, b)
-        spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
-        return F.try_divide(F.covar_pop(a, b), spread)
-
-    def part(some: list[tuple[int, int]]) -> DataFrame:
-        one_row = df.agg(F.count(F.lit(1)).alias("n"), *[pair(i, j).alias(f"r_{i}_{j}") for i, j in some])
-        cells = [
-            F.struct(F.lit(cols[x]).alias("x"), F.lit(cols[y]).alias("y"), F.col(f"r_{i}_{j}").alias("corr"))
-            for i, j in some
-            for x, y in dict.fromkeys([(i, j), (j, i)])
-        ]
-        return one_row.select(F.inline(F.array(*cells)))
-
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    parts = [part(pairs[at : at + pairs_per_pass]) for at in range(0, len(pairs), pairs_per_pass)]
-    return reduce(DataFrame.unionByName, parts)
+    k = len(cols)
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            own = _gram(np.where(np.isfinite(values), values, np.nan))
+            seen = own if seen is None else _merged({m: np.stack([seen[m], own[m]]) for m in _MOMENTS})
+        if seen is not None:
+            at = tuple(np.array(upper).T)
+            columns = [pa.array(at[0].astype(np.int32)), pa.array(at[1].astype(np.int32)), *(pa.array(seen[m][at]) for m in _MOMENTS)]
+            yield pa.RecordBatch.from_arrays(columns, names=["i", "j", *_MOMENTS])
+
+    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    return numbers.mapInArrow(run, "i int, j int, " + ", ".join(f"{m} double" for m in _MOMENTS))
+
+
+def corr_from_moments(moments: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Correlations (x, y, corr) from the rows of :func:`pair_moments`, of any number of tasks and days."""
+    cols = list(cols)
+
+    def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        m = _merged({c: parts[c].to_numpy() for c in _MOMENTS})
+        i, j = key
+        varies = m["n"] > 0 and m["low_x"] < m["high_x"] and m["low_y"] < m["high_y"]
+        spread = np.sqrt(m["xx"]) * np.sqrt(m["yy"]) if varies else 0.0
+        r = 1.0 if varies and i == j else float(m["xy"] / spread) if spread > 0 else None
+        ends = dict.fromkeys([(i, j), (j, i)])
+        return pd.DataFrame({"x": [cols[a] for a, _ in ends], "y": [cols[b] for _, b in ends], "corr": pd.Series([r] * len(ends), dtype=object)})
+
+    return moments.groupBy("i", "j").applyInPandas(merge, "x string, y string, corr double")
+
+
+def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Pearson correlation of every pair of columns as rows (x, y, corr), both orders and x = y.
+
+    A pair uses the rows where both values are present and finite. The correlation is null where
+    one of the two is constant there. One scan for any number of columns: each task keeps the
+    moments of all pairs around its own means, which are then merged pair by pair, so neither a
+    large mean nor a missing value costs digits. Without rows there are no pairs.
+    """
+    return corr_from_moments(pair_moments(df, cols), cols)
 
 
 def histogram(df: DataFrame, cols: str | Sequence[str], bins: int = 30) -> DataFrame:

@@ -210,3 +210,28 @@ def outlier_rows(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFram
     """Rows in which at least one of the columns lies outside its IQR bounds."""
     bounds = iqr_bounds(df, cols, k)
     return df.filter(reduce(Column.__or__, [_outside(c, b) for c, b in bounds.items()]))
+
+
+#: Size of a stored sketch (a few kilobytes) and the error in rank that its quantiles stay below.
+SKETCH_SIZE = 400
+SKETCH_RANK_ERROR = 0.02
+
+
+def quantile_sketches(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
+    """(by, sketch): a KLL sketch of the finite values per group, for storing.
+
+    Sketches of days or parts can be merged for any period without the rows. A group without values
+    has an empty sketch.
+    """
+    return df.groupBy(*by).agg(F.kll_sketch_agg_double(finite_or_null(df, col).cast("double"), SKETCH_SIZE).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One sketch per group of stored ones; merging loses no accuracy against a sketch of all rows."""
+    return sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch", SKETCH_SIZE).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, by: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(by, prob, n, value): the values at ``probs``, their rank within ``SKETCH_RANK_ERROR``; null without values."""
+    cells = [F.struct(F.lit(float(p)).alias("prob"), F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(float(p)))).alias("value")) for p in probs]
+    return sketches.withColumn("n", F.kll_sketch_get_n_double("sketch")).select(*by, "n", F.inline(F.array(*cells)))

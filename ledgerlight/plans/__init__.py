@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlight.plans import listings, models, monitoring, prices, profile, sales, series, storage
+from ledgerlight.plans import listings, models, monitoring, prices, profile, sales, series, storage, watch
 
-_MODULES = (sales, listings, prices, profile, series, models, monitoring, storage)
+_MODULES = (sales, listings, prices, profile, series, models, monitoring, storage, watch)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

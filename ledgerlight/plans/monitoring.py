@@ -40,6 +40,14 @@ def _quality(spark, sf):
     return quality.quality_report(raw_orders(spark, sf), rules, max_share=0.06)
 
 
+def _partition_report(spark, sf):
+    """All eight counts are asked for, so their sum must be the table's rows."""
+    report = partition_report(table(spark, sf, "orders").repartition(8, "o_orderkey"), "after_repartition", sample=8)
+    counts = F.col("sample_distribution")
+    total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return report.select("label", F.col("count").cast("bigint").alias("partitions"), F.size(counts).cast("bigint").alias("listed"), total.alias("rows"), (F.array_min(counts) > 0).alias("all_used"))
+
+
 QUERIES = {
     "regression_metrics": lambda spark, sf: _rounded(
         quality.regression_metrics(_scored(spark, sf), "TotalAmount", "prediction")
@@ -59,9 +67,7 @@ QUERIES = {
     "partition_counts": lambda spark, sf: partition_counts(table(spark, sf, "orders").repartition(8, "o_orderkey")).agg(
         F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("partitions")
     ),
-    "partition_report": lambda spark, sf: partition_report(
-        table(spark, sf, "orders").repartition(8, "o_orderkey"), "after_repartition"
-    ).select("label", F.col("count").cast("bigint").alias("partitions")),
+    "partition_report": _partition_report,
 }
 
 _SCORED = f"""(SELECT *, "TotalAmount" AS y, "Quantity" * "UnitPrice" * (1.0::DOUBLE - "Discount") - "TotalAmount" AS e,
@@ -96,7 +102,7 @@ ORACLES = {
         d AS (SELECT *, first_value(r2) OVER (ORDER BY month) AS baseline FROM m)
         SELECT month, COALESCE(-(r2 - baseline) / baseline > 0.1, FALSE) AS alert FROM d""",
     "partition_counts": "SELECT CAST(COUNT(*) AS BIGINT) AS rows, CAST(8 AS BIGINT) AS partitions FROM orders",
-    "partition_report": "SELECT 'after_repartition' AS label, CAST(8 AS BIGINT) AS partitions FROM orders LIMIT 1",
+    "partition_report": "SELECT 'after_repartition' AS label, CAST(8 AS BIGINT) AS partitions, CAST(8 AS BIGINT) AS listed, COUNT(*) AS rows, COUNT(*) > 0 AS all_used FROM orders",
     "quality_report": " UNION ALL ".join(
         f"""SELECT '{name}' AS rule, COUNT(*) AS rows, COUNT(*) FILTER ({test}) AS violations,
             CAST(COUNT(*) FILTER ({test}) AS DOUBLE) / COUNT(*) AS share,

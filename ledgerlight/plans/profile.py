@@ -20,7 +20,7 @@ def _round(df, digits, *cols):
 
 
 def _staged(spark, sf, cols):
-    """Joined once and written, because a quantile search reads its columns several times."""
+    """Joined once and written, because quantile searches and histograms read its columns several times."""
     return stage(sales_view(spark, sf, cols), "measures")
 
 
@@ -54,7 +54,7 @@ QUERIES = {
     ),
     "histogram": lambda spark, sf: _round(profile.histogram(_events(spark, sf), "value"), 6, "low", "high"),
     "histogram_all": lambda spark, sf: _round(
-        profile.histogram(sales_view(spark, sf, NUMBERS), NUMBERS), 6, "low", "high"
+        profile.histogram(_staged(spark, sf, NUMBERS), NUMBERS), 6, "low", "high"
     ),
     "kde": lambda spark, sf: _round(_round(profile.density(_events(spark, sf), "value"), 9, "x", "density"), 4, "overlay"),
 }

@@ -17,7 +17,7 @@ from ledgerlight.plans.sql import SALES, UNIQUE
 from ledgerlight.sources.readers import read_csv, read_lines, read_manifest
 from ledgerlight.sources.sales import listing_lines, raw_orders, sales_view, table
 from ledgerlight.sources.sinks import (
-    SinkLog, layer_path, transfer, verify_write, write_csv, write_manifest, write_parquet, write_records, write_report,
+    SinkLog, layer_path, transfer, write_csv, write_manifest, write_observed, write_parquet, write_records, write_report,
 )
 
 _COUNTS = ("expected_rows", "written_rows", "matches")
@@ -29,16 +29,12 @@ def _path(spark, layer, name):
 
 def _verified_parquet(spark, sf):
     df = sales_view(spark, sf)
-    path = _path(spark, "silver", "sales")
-    write_parquet(df, path)
-    return verify_write(df, path).select(*_COUNTS)
+    return write_observed(df, _path(spark, "silver", "sales")).select(*_COUNTS)
 
 
 def _verified_csv(spark, sf):
     df = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    path = _path(spark, "silver", "orders-csv")
-    write_csv(df, path)
-    return verify_write(df, path, "csv").select(*_COUNTS)
+    return write_observed(df, _path(spark, "silver", "orders-csv"), write_csv, "csv").select(*_COUNTS)
 
 
 def _transferred(spark, sf):

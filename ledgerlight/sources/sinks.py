@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,21 +82,16 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """(rows, checksum): equal for equal bags of rows, in any order and partitioning."""
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")).alias("checksum"),
-    )
+    return df.agg(*_counts(df))
 
 
-def verify_write(df: DataFrame, path: str, fmt: str = "parquet", **options) -> DataFrame:
-    """One row: rows and checksum of ``df`` and of the table at ``path``, and whether they match.
+def _counts(df: DataFrame) -> list[Column]:
+    """rows and checksum: equal for equal bags of rows, in any order and partitioning."""
+    return [F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")).alias("checksum")]
 
-    CSV is read back with the schema of ``df`` and the ``options`` of the CSV reader.
-    """
-    written = read_table(df.sparkSession, path, fmt, df.schema, **options)
-    sides = fingerprint(df).withColumn("side", F.lit("expected")).unionByName(
-        fingerprint(written.select(*[F.col(f"`{c}`") for c in df.columns])).withColumn("side", F.lit("written"))
-    )
+
+def _compared(expected: DataFrame, written: DataFrame) -> DataFrame:
+    sides = expected.withColumn("side", F.lit("expected")).unionByName(written.withColumn("side", F.lit("written")))
     pick = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
     return sides.agg(
         *[pick(side, c).alias(f"{side}_{c}") for c in ("rows", "checksum") for side in ("expected", "written")]
@@ -107,6 +102,33 @@ def verify_write(df: DataFrame, path: str, fmt: str = "parquet", **options) -> D
     )
 
 
+def _read_back(df: DataFrame, path: str, fmt: str, **options) -> DataFrame:
+    written = read_table(df.sparkSession, path, fmt, df.schema, **options)
+    return fingerprint(written.select(*[F.col(f"`{c}`") for c in df.columns]))
+
+
+def verify_write(df: DataFrame, path: str, fmt: str = "parquet", **options) -> DataFrame:
+    """One row: rows and checksum of ``df`` and of the table at ``path``, and whether they match.
+
+    CSV is read back with the schema of ``df`` and the ``options`` of the CSV reader.
+    """
+    return _compared(fingerprint(df), _read_back(df, path, fmt, **options))
+
+
+def write_observed(df: DataFrame, path: str, write: Callable[[DataFrame, str], None] = write_parquet, fmt: str = "parquet", **options) -> DataFrame:
+    """Write ``df`` and compare what was written with what passed the writer: the row of :func:`verify_write`.
+
+    Rows and checksum are counted while ``write(df, path)`` runs, so the source is read once, not
+    again for the comparison. The table is read back with the ``options`` of the reader. ``write`` must
+    consume ``df`` in exactly one action.
+    """
+    seen = Observation()
+    write(df.observe(seen, *_counts(df)), path)
+    found = seen.get
+    expected = df.sparkSession.range(1).select(F.lit(found["rows"]).alias("rows"), F.lit(found["checksum"]).cast("decimal(38,0)").alias("checksum"))
+    return _compared(expected, _read_back(df, path, fmt, **options))
+
+
 def transfer(
     spark: SparkSession,
     src: str,
@@ -125,11 +147,8 @@ def transfer(
         raise ValueError(f"unknown format {dst_fmt!r}: use csv, parquet")
     csv = {"multi_line": multi_line, "null_mark": NULL_MARK}
     df = read_table(spark, src, src_fmt, schema, **(csv if src_fmt == "csv" else {}))
-    if dst_fmt == "parquet":
-        write_parquet(df, dst)
-    else:
-        write_csv(df, dst, NULL_MARK)
-    found = verify_write(df, dst, dst_fmt, **(csv if dst_fmt == "csv" else {})).first()
+    write = write_parquet if dst_fmt == "parquet" else lambda table, path: write_csv(table, path, NULL_MARK)
+    found = write_observed(df, dst, write, dst_fmt, **(csv if dst_fmt == "csv" else {})).first()
     if not found.matches:
         raise RuntimeError(f"{dst} has {found.written_rows} rows that differ from the {found.expected_rows} of {src}")
     return found.written_rows
