@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
 _STAGED: list[tuple[SparkSession, str]] = []
+_TABLES: dict[str, str] = {}
 
 
 def staging_folder(spark: SparkSession) -> str:
@@ -44,6 +45,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` in ``buckets`` buckets, sorted by ``key``, and return the table read back.
+
+    Tables with equal buckets of their join keys are joined and grouped by key without a shuffle, as
+    often as they are read. The rows meet their bucket before the write, so there is one file per bucket.
+    """
+    spark = df.sparkSession
+    table = f"ledgerlight_{name}_{uuid.uuid4().hex}"
+    path = f"{staging_folder(spark)}/ledgerlight/{table}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    _STAGED.append((spark, path))
+    _TABLES[path] = table
+    return spark.table(table)
+
+
 def staged_paths() -> list[str]:
     """Folders of all copies that have not been released."""
     return [path for _, path in _STAGED]
@@ -53,6 +69,8 @@ def release(since: int = 0) -> None:
     """Delete the copies made after the first ``since`` ones; frames that read them become unreadable."""
     while len(_STAGED) > since:
         spark, path = _STAGED.pop()
+        if path in _TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop(path)}")
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 

@@ -1,18 +1,22 @@
-"""Whole-table windows, unusual days, drift of inputs and mergeable sketches."""
+"""Whole-table windows, unusual days, drift of inputs, mergeable sketches, stored layouts and event time."""
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.columns import period_label
-from ledgerlight.functions.staging import stage
-from ledgerlight.operators import anomalies, drift, quantiles
+from ledgerlight.functions.staging import stage, stage_bucketed, staging_folder
+from ledgerlight.operators import anomalies, drift, partitioning, quantiles
 from ledgerlight.operators import series as ts
 from ledgerlight.operators.aggregates import daily_totals
 from ledgerlight.operators.running import Ordered
 from ledgerlight.plans.series import _filled
 from ledgerlight.plans.sql import SALES
 from ledgerlight.sources.sales import sales_view, table
+from ledgerlight.streaming.events import daily_windows, event_stream, start_daily
 
 _INPUTS = ("Quantity", "UnitPrice", "Discount", "TotalAmount")
 _PROBS = (0.1, 0.25, 0.5, 0.75, 0.9)
@@ -59,7 +63,42 @@ def _sketch_ranks(spark, sf):
     return counted.select("event_type", "prob", "rows", F.col("n").alias("sketched"), (off <= quantiles.SKETCH_RANK_ERROR).alias("within_bound"))
 
 
+def _streamed_days(spark, sf):
+    """Closed days of the event table, streamed once with a watermark."""
+    events = table(spark, sf, "events")
+    # A pattern, because a stream takes a plain path for a folder and the table may be one file.
+    stream = event_stream(spark, f"{sf}/events.parque[t]", events.schema)
+    totals = daily_windows(stream, by=("event_type",), value=F.col("value").cast("decimal(18,4)"))
+    folder = f"{staging_folder(spark)}/ledgerlight/stream-{uuid.uuid4().hex}"
+    start_daily(totals, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    days = spark.read.schema(totals.schema).parquet(f"{folder}/table")
+    return days.select(F.to_date("day").alias("day"), "event_type", "events", F.col("total").cast("double").alias("total"))
+
+
+def _bucketed(spark, sf):
+    """Lines and orders stored by order key and joined where they lie."""
+    lines = stage_bucketed(table(spark, sf, "lineitem").select("l_orderkey", "l_extendedprice"), "lines", "l_orderkey", 16)
+    orders = stage_bucketed(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "orders", "o_orderkey", 16)
+    joined = lines.hint("merge").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("amount"))
+
+
+def _layouts(spark, sf):
+    """Partitions and rows of a table as it is spread evenly, spread by key, merged and held."""
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    even = partitioning.spread(orders, 8)
+    frames = {"even": even, "by_key": partitioning.spread(orders, 6, "o_orderkey"), "merged": partitioning.shrink(even, 2), "held": partitioning.hold(partitioning.spread(orders, 4))}
+    rows = [partitioning.partition_counts(f).agg(F.lit(name).alias("layout"), F.count(F.lit(1)).alias("partitions"), F.sum("rows").alias("rows")) for name, f in frames.items()]
+    found = stage(reduce(lambda a, b: a.unionByName(b), rows), "layouts")
+    partitioning.release(frames["held"])
+    return found
+
+
 QUERIES = {
+    "streamed_days": _streamed_days,
+    "join_bucketed": _bucketed,
+    "layouts": _layouts,
+    "renamed_orders": lambda spark, sf: table(spark, sf, "orders").withColumnsRenamed({"o_orderkey": "OrderID", "o_totalprice": "TotalAmount"}).select("OrderID", "TotalAmount"),
     "running_events": _running_events,
     "seasonal_anomalies": lambda spark, sf: _decomposed(spark, sf).withColumns({c: F.round(c, 4) for c in ("trend", "seasonal", "remainder", "score")}),
     "anomaly_alerts": lambda spark, sf: anomalies.anomaly_alerts(_decomposed(spark, sf), ["PaymentMethod"], max_days=3),
@@ -107,6 +146,13 @@ def _drift_sql() -> str:
 
 
 ORACLES = {
+    "streamed_days": """WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS events, CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) AS total
+        FROM events GROUP BY 1, 2)
+      SELECT * FROM d WHERE CAST(day + 1 AS TIMESTAMP) <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
+    "join_bucketed": """SELECT o_orderpriority, count(*) AS lines, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS amount
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""",
+    "layouts": """SELECT layout, CAST(n AS BIGINT) AS partitions, (SELECT count(*) FROM orders) AS rows FROM (VALUES ('even', 8), ('by_key', 6), ('merged', 2), ('held', 4)) t(layout, n)""",
+    "renamed_orders": """SELECT o_orderkey AS "OrderID", o_totalprice AS "TotalAmount" FROM orders""",
     "running_events": """SELECT ts, event_id, value, row_number() OVER w AS place, CAST(sum(CAST(value AS DECIMAL(18, 4))) OVER w AS DOUBLE) AS total,
         count(value) OVER w AS seen, min(value) OVER w AS lowest, max(value) OVER w AS highest,
         lag(value, 1) OVER w AS previous, lag(value, 7) OVER w AS week_ago, lead(value, 1) OVER w AS next,
