@@ -12,6 +12,7 @@ from ledgerlight.functions.staging import stage, stage_bucketed, staging_folder
 from ledgerlight.operators import anomalies, drift, partitioning, quantiles
 from ledgerlight.operators import series as ts
 from ledgerlight.operators.aggregates import daily_totals
+from ledgerlight.operators.frequent import top_keys
 from ledgerlight.operators.running import Ordered
 from ledgerlight.plans.series import _filled
 from ledgerlight.plans.sql import SALES
@@ -94,7 +95,15 @@ def _layouts(spark, sf):
     return found
 
 
+def _heavy_hitters(spark, sf):
+    """Top keys of a column where a few stand out, and of one with nearly as many values as rows."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", F.pmod("l_orderkey", F.pmod(F.col("l_partkey"), F.lit(97)) + 1).alias("uneven"))
+    tops = [top_keys(lines, c, counters=200).select(F.lit(c).alias("column"), F.col(c).alias("value"), "count", F.round("share", 9).alias("share")) for c in ("l_orderkey", "uneven")]
+    return tops[0].unionByName(tops[1])
+
+
 QUERIES = {
+    "heavy_hitters": _heavy_hitters,
     "streamed_days": _streamed_days,
     "join_bucketed": _bucketed,
     "layouts": _layouts,
@@ -146,6 +155,10 @@ def _drift_sql() -> str:
 
 
 ORACLES = {
+    "heavy_hitters": " UNION ALL ".join(
+        f"""(SELECT '{c}' AS "column", {e} AS value, count(*) AS count, ROUND(count(*) / CAST((SELECT count(*) FROM lineitem) AS DOUBLE), 9) AS share
+        FROM lineitem GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 5)""" for c, e in (("l_orderkey", "l_orderkey"), ("uneven", "l_orderkey % (l_partkey % 97 + 1)"))
+    ),
     "streamed_days": """WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS events, CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) AS total
         FROM events GROUP BY 1, 2)
       SELECT * FROM d WHERE CAST(day + 1 AS TIMESTAMP) <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",

@@ -76,3 +76,44 @@ def test_streams_without_values(spark, tmp_path):
     assert streams.daily_windows(stream).columns == ["day", "events"]
     with pytest.raises(Exception, match="missing|cannot be resolved|UNRESOLVED"):
         streams.daily_windows(stream, time="missing")
+
+
+def exact_top(rows, top):
+    from collections import Counter
+
+    return [(k, n) for k, n in sorted(Counter(rows).items(), key=lambda x: (-x[1], x[0] is not None, x[0]))][:top]
+
+
+@pytest.mark.parametrize("counters", [3, 50, 5_000])
+def test_top_keys_equal_the_exact_report(spark, counters):
+    import random
+
+    from ledgerlight.operators import frequent
+
+    rng = random.Random(counters)
+    columns = {
+        "distinct": [f"k{i}" for i in range(4000)],  # as many values as rows
+        "hot": ["a"] * 2000 + ["b"] * 900 + [None] * 500 + [f"k{i}" for i in range(600)],
+        "zipf": [f"k{int(rng.paretovariate(0.7))}" for _ in range(4000)],
+        "ties": [f"k{i % 40:02d}" for i in range(4000)],
+    }
+    for name, values in columns.items():
+        rng.shuffle(values)
+        df = spark.createDataFrame([(v,) for v in values], f"{name} string").repartition(4)
+        got = frequent.top_keys(df, name, 5, counters).collect()
+        assert [(r[name], r["count"]) for r in got] == exact_top(values, 5), name
+        assert got[0].share == got[0]["count"] / 4000
+    assert frequent.top_keys(df.limit(0), "ties").collect() == []
+
+
+def test_summaries_bound_every_count(spark):
+    from collections import Counter
+
+    from ledgerlight.operators import frequent
+
+    values = [i % (i % 50 + 1) for i in range(6000)]
+    df = spark.createDataFrame([(v,) for v in values], "v int").repartition(3)
+    merged, error, rows = frequent.merge_summaries(frequent.frequent_summary(df, "v", 7))
+    low, true = {r.value: r.low for r in merged.collect()}, Counter(values)
+    assert rows == 6000 and all(low.get(v, 0) <= n <= low.get(v, 0) + error for v, n in true.items())
+    assert error <= 6000 / 8
