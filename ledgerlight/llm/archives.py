@@ -4,7 +4,8 @@ An ARC file starts with a version block that names the fields of its record head
 has five fields, version 2 ten. A header line ends with the length of the block that follows, which
 is all that delimits records. :func:`parse_arc` reads both versions; :func:`convert` turns records
 into WARC records with identifiers, timestamps, types and digests made from the old fields, storing
-equal payloads once and referring to that record from the others.
+equal payloads once and referring to that record from the others. The old HTTP header (status line and
+all fields) and the IP address are carried over, and every file begins with a ``warcinfo`` record.
 
 Files are written by Spark's text writer, one row and so one file of at most ``FILE_BYTES`` of records
 (or a single longer one) after the other, whatever the length of the pages, and read whole by its
@@ -19,6 +20,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +39,8 @@ _PACKED = {"zlib.compress.level": "BEST_SPEED"}
 ID_HEADER = "X-Archive-Item"
 #: Bytes of records in a file.
 FILE_BYTES = 8 << 20
-RECORD_COLUMNS = "item long, url string, stamp string, mime string, payload binary"
-WARC_COLUMNS = "item long, record_id string, record_type string, url string, warc_date string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+RECORD_COLUMNS = "item long, url string, stamp string, mime string, ip string, head binary, payload binary"
+WARC_COLUMNS = "item long, record_id string, record_type string, url string, warc_date string, payload_bytes long, payload_digest string, refers_to long, ip string, head binary, payload binary"
 
 
 def digest_of(payload: bytes) -> str:
@@ -82,12 +84,17 @@ def arc_record(version: int, item: int | None, url: str | None, payload: str, st
     return f"{' '.join(fields)} {len(body.encode())}\n{body}"
 
 
-def parse_arc(data: bytes) -> Iterator[tuple[int | None, str | None, str, str, bytes]]:
-    """(item, url, stamp, mime, payload) of every record of one ARC file, gzipped or plain.
+def _http(status: int | str, mime: str, length: int) -> bytes:
+    return f"HTTP/1.1 {status} {'OK' if str(status) == '200' else 'Archived'}\r\nContent-Type: {mime}\r\nContent-Length: {length}".encode()
 
-    The version block decides how many fields a header line has; further version blocks (files put
-    together) change it. A header line without a valid length, or a block that is cut short, is an
-    error: nothing after it can be found.
+
+def parse_arc(data: bytes) -> Iterator[tuple[int | None, str | None, str, str, str | None, bytes, bytes]]:
+    """(item, url, stamp, mime, ip, head, payload) of every record of one ARC file, gzipped or plain.
+
+    ``head`` is the record's own HTTP header without its end, lines ended by CRLF; a block without one gets
+    a header from the record's result code (200 if there is none) and type. The version block decides how many
+    fields a header line has; further version blocks (files put together) change it. A header line
+    without a valid length, or a block that is cut short, is an error: nothing after it can be found.
     """
     data = gunzip(data)
     at, fields = 0, ARC_FIELDS[1]
@@ -109,11 +116,20 @@ def parse_arc(data: bytes) -> Iterator[tuple[int | None, str | None, str, str, b
         if len(line) != len(fields):
             raise ValueError(f"{len(line)} fields in an ARC header line of {len(fields)}")
         named = dict(zip(fields, line))
-        head, mark, body = block.partition(b"\r\n\r\n")
-        if not mark or not head.startswith(b"HTTP/"):
-            head, body = b"", block
-        item = re.search(rf"(?mi)^{ID_HEADER}: (-?\d+)\r?$".encode(), head)
-        yield int(item[1]) if item else None, _plain(named["URL"]), named["Archive-date"], named["Content-type"], body
+        mark = re.search(rb"\r?\n\r?\n", block) if block.startswith(b"HTTP/") else None
+        if mark:
+            lines, body = re.split(rb"\r?\n", block[: mark.start()]), block[mark.end() :]
+        else:
+            code, body = named.get("Result-code", "200"), block
+            lines = _http(code if re.fullmatch(r"[1-5]\d\d", code) else 200, named["Content-type"], len(body)).split(b"\r\n")
+        item = None
+        for field in lines[1:]:
+            name, _, value = field.partition(b":")
+            if name.lower() == ID_HEADER.lower().encode() and re.fullmatch(rb"-?\d+", value.strip()):
+                item = int(value)
+        head = b"\r\n".join(x for x in lines if not x.lower().startswith(ID_HEADER.lower().encode() + b":"))
+        ip = named["IP-address"]
+        yield item, _plain(named["URL"]), named["Archive-date"], named["Content-type"], None if ip in ("-", "0.0.0.0") else ip, head, body
 
 
 def warc_date(stamp: str) -> str:
@@ -122,20 +138,33 @@ def warc_date(stamp: str) -> str:
     return f"{s[:4]}-{s[4:6]}-{s[6:8]}T{s[8:10]}:{s[10:12]}:{s[12:14]}Z"
 
 
-def warc_record(item: int, url: str | None, stamp: str, mime: str, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC record without the end mark; a revisit has the HTTP header only."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: {mime}; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if refers_to is not None else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{record_uuid(item)}>", f"WARC-Date: {warc_date(stamp)}"]
+def warc_info(name: str, date: str) -> bytes:
+    """The record that begins a file, without the end mark."""
+    body = f"software: ledgerlight\r\nformat: WARC File Format 1.1\r\ndescription: converted from ARC\r\nisPartOf: {name}\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return ("\r\n".join(lines) + "\r\n\r\n" + body).encode()
+
+
+def warc_record(key: int, item: int | None, url: str | None, stamp: str, ip: str | None, head: bytes, payload: bytes, refers_to: int | None, refers_item: int | None) -> bytes:
+    """One WARC record without the end mark; a revisit has the HTTP header only.
+
+    ``key`` and ``refers_to`` make the identifiers; the item numbers, and the payload's length, which the
+    old header need not tell, stand in fields of their own.
+    """
+    block = head + b"\r\n\r\n" if refers_to is not None else head + b"\r\n\r\n" + payload
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{record_uuid(key)}>", f"WARC-Date: {warc_date(stamp)}"]
     lines += [f"WARC-Target-URI: {_token(url)}"] if url else []
+    lines += [f"WARC-IP-Address: {ip}"] if ip else []
     if refers_to is not None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{record_uuid(refers_to)}>"]
-    lines += [f"WARC-Payload-Digest: sha1:{digest_of(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+        lines += [f"X-Refers-To-Item: {refers_item}"] if refers_item is not None else []
+    lines += [f"{ID_HEADER}: {item}"] if item is not None else []
+    lines += [f"X-Payload-Length: {len(payload)}", f"WARC-Payload-Digest: sha1:{digest_of(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + block
 
 
 def parse_warc(data: bytes) -> Iterator[tuple]:
-    """Rows of ``WARC_COLUMNS`` for every record of one WARC file, gzipped or plain."""
+    """Rows of ``WARC_COLUMNS`` for every response and revisit of one WARC file, gzipped or plain."""
     data, at = gunzip(data), 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
@@ -147,16 +176,18 @@ def parse_warc(data: bytes) -> Iterator[tuple]:
         if data[end + 4 + length : end + 8 + length] != b"\r\n\r\n":
             raise ValueError(f"the WARC record at byte {at} does not end where it says")
         at = end + 8 + length
-        http, _, payload = block.partition(b"\r\n\r\n")
+        if named["WARC-Type"] == "warcinfo":
+            continue
+        head, _, payload = block.partition(b"\r\n\r\n")
         revisit = named["WARC-Type"] == "revisit"
-        declared = int(re.search(rb"(?mi)^Content-Length: (\d+)", http)[1])
-        digest = named["WARC-Payload-Digest"].removeprefix("sha1:")
+        declared, digest = int(named["X-Payload-Length"]), named["WARC-Payload-Digest"].removeprefix("sha1:")
         if not revisit and (len(payload) != declared or digest_of(payload) != digest):
             raise ValueError(f"the payload of {named['WARC-Record-ID']} does not match its digest")
         url = _plain(named["WARC-Target-URI"]) if "WARC-Target-URI" in named else None
+        number = lambda field: int(named[field]) if field in named else None
         yield (
-            item_of(named["WARC-Record-ID"]), named["WARC-Record-ID"], named["WARC-Type"], url, named["WARC-Date"], declared, digest,
-            item_of(named["WARC-Refers-To"]) if revisit else None, None if revisit else payload,
+            number(ID_HEADER), named["WARC-Record-ID"], named["WARC-Type"], url, named["WARC-Date"], declared, digest,
+            number("X-Refers-To-Item"), named.get("WARC-IP-Address"), head, None if revisit else payload,
         )
 
 
@@ -219,7 +250,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
     """Rows of ``RECORD_COLUMNS`` from all ARC files of a folder."""
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("item", pa.int64()), ("url", pa.string()), ("stamp", pa.string()), ("mime", pa.string()), ("payload", pa.binary())])
+        schema = pa.schema([("item", pa.int64()), ("url", pa.string()), ("stamp", pa.string()), ("mime", pa.string()), ("ip", pa.string()), ("head", pa.binary()), ("payload", pa.binary())])
         for batch in batches:
             for content in batch.column(0):
                 yield from _batches(parse_arc(content.as_py()), schema)
@@ -256,25 +287,30 @@ def convert(spark: SparkSession, arc_path: str, min_bytes: int = 0, codec: str =
 
     Of records with equal payloads of at least ``min_bytes`` bytes the one with the largest item
     number becomes a response, the others revisits of it; smaller ones are all responses. Records
-    without an item number get the negative hash of their URL, date and digest. Which record is which is settled
-    on (item, digest) alone: groups are counted before the shuffle, the digests of groups with
-    several members are stored, and payloads meet only their own, unique decision.
+    without an item number come after all that have one, and get identifiers from the negative hash of their
+    URL, date and digest. Which record is which is settled on (item, digest) alone: groups are counted before
+    the shuffle, the digests of groups with several members are stored, and payloads meet only their own,
+    unique decision. Headers and addresses are carried over. A file is one gzip member.
     """
     digest = F.expr("sha1(payload)")
-    parsed = read_arc(spark, arc_path).withColumn("digest", digest).withColumn(
-        "item", F.coalesce("item", -F.abs(F.xxhash64("url", "stamp", "digest") % F.lit(1 << 61)) - 1)
-    )
-    small = scratch.keep(parsed.select("item", "digest", F.octet_length("payload").alias("n")).where(F.col("n") >= min_bytes), "arc-digests")
-    groups = scratch.keep(small.groupBy("digest").agg(F.max("item").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "arc-groups")
-    revisits = scratch.keep(small.join(groups, "digest").where("item <> first").select("item", "digest", F.col("first").alias("refers_to")).distinct(), "arc-revisits")
+    substitute = -F.abs(F.xxhash64("url", "stamp", "digest") % F.lit(1 << 61)) - 1
+    parsed = read_arc(spark, arc_path).withColumn("digest", digest).withColumn("known", F.col("item").isNotNull()).withColumn("key", F.coalesce("item", substitute))
+    small = scratch.keep(parsed.select("known", "key", "digest", F.octet_length("payload").alias("n")).where(F.col("n") >= min_bytes), "arc-digests")
+    first = F.max(F.struct("known", "key")).alias("first")
+    groups = scratch.keep(small.groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1").select("digest", "first"), "arc-groups")
+    revisits = small.join(groups, "digest").where("key <> first.key or known <> first.known")
+    revisits = scratch.keep(revisits.select("known", "key", "digest", F.col("first.key").alias("refers_to"), F.when(F.col("first.known"), F.col("first.key")).alias("refers_item")).distinct(), "arc-revisits")
+    path, date = scratch.new_path(spark, "warc"), datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ("item", "url", "stamp", "mime", "payload", "refers_to")
+        from pyspark import TaskContext
+
+        columns = ("key", "item", "url", "stamp", "ip", "head", "payload", "refers_to", "refers_item")
         rows = (row for batch in batches for piece in slices(batch, "payload") for row in zip(*(piece.column(k).to_pylist() for k in columns)))
-        yield from _in_files((warc_record(*row) for row in rows), b"\r\n\r\n", file_bytes)
+        info = warc_info(f"{path.rsplit('/', 1)[-1]}-{TaskContext.get().partitionId():05d}.warc", date)
+        yield from _in_files((warc_record(*row) for row in rows), b"\r\n\r\n", file_bytes, info)
 
-    joined = parsed.join(revisits, ["item", "digest"], "left").select("item", "url", "stamp", "mime", "payload", "refers_to")
-    path = scratch.new_path(spark, "warc")
+    joined = parsed.join(revisits, ["known", "key", "digest"], "left").select("key", "item", "url", "stamp", "ip", "head", "payload", "refers_to", "refers_item")
     _write_files(joined.mapInArrow(write, "value binary"), path, "\r\n\r\n", codec)
     scratch.drop(small, groups, revisits)
     return path
@@ -283,7 +319,8 @@ def convert(spark: SparkSession, arc_path: str, min_bytes: int = 0, codec: str =
 def archive_pages(pages: DataFrame, min_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Pages to ARC files to WARC files, read back: one row of ``WARC_COLUMNS`` per page.
 
-    A null page has an empty payload, a null URL no target. Repeated rows (equal ID and text) are
+    A null page has an empty payload, a null URL no target; a null ID comes back as null, and is never
+    the response of a group that has an ID (``refers_to`` is null where the response has none). Repeated rows (equal ID and text) are
     responses both, as neither precedes the other. Only the ID, URL and text columns are read.
     """
     spark = pages.sparkSession

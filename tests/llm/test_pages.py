@@ -225,14 +225,47 @@ def test_archive_files_hold_a_stated_number_of_bytes(spark):
     assert sorted(r[0] for f in files for r in archives.parse_arc(f)) == list(range(40))
     warc = archives.convert(spark, arc, file_bytes=2_000, codec="none")
     files = [bytes(r.content) for r in archives._files(spark, warc).collect()]
-    assert len(files) > 10 and max(map(len, files)) < 2_000 + 10
+    assert len(files) > 10 and max(map(len, files)) < 2_000 + 450  # a warcinfo record more
     assert sorted(r[0] for f in files for r in archives.parse_warc(f)) == list(range(40))
 
 
+@pytest.mark.parametrize("version", [1, 2])
+def test_foreign_archives_keep_headers_addresses_and_codes(spark, tmp_path, version):
+    more = [b"404 - - 0 f.arc", b"302 - - 0 f.arc", b"410 - - 0 f.arc"] if version == 2 else [b"", b"", b""]
+    blocks = [
+        (b"http://a/1", b"10.0.0.1", b"HTTP/1.0 404 Not Found\r\nServer: old\r\nContent-Type: text/html\r\n\r\ngone \xff\xfe"),
+        (b"http://a/2", b"0.0.0.0", b"HTTP/1.1 302 Found\nLocation: /x\n\nmoved"),
+        (b"dns:a", b"10.0.0.2", b"no header at all\r\n\r\nHTTP/ later"),
+    ]
+    content = archives.arc_version_block(version, "f.arc").encode()
+    for (url, ip, block), m in zip(blocks, more):
+        content += b"\n" + b" ".join(x for x in (url, ip, b"19990102030405", b"text/plain", m, str(len(block)).encode()) if x) + b"\n" + block
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "f.arc").write_bytes(content + b"\n")
+    warc = archives.convert(spark, f"file://{tmp_path}/in", codec="none")
+    got = {r.url: r for r in archives.read_warc(spark, warc).collect()}
+    assert bytes(got["http://a/1"].head) == b"HTTP/1.0 404 Not Found\r\nServer: old\r\nContent-Type: text/html"
+    assert (bytes(got["http://a/1"].payload), got["http://a/1"].ip, got["http://a/1"].warc_date) == (b"gone \xff\xfe", "10.0.0.1", "1999-01-02T03:04:05Z")
+    assert (bytes(got["http://a/2"].head), bytes(got["http://a/2"].payload), got["http://a/2"].ip) == (b"HTTP/1.1 302 Found\r\nLocation: /x", b"moved", None)
+    code = b"410" if version == 2 else b"200"
+    assert bytes(got["dns:a"].head).startswith(b"HTTP/1.1 " + code) and bytes(got["dns:a"].payload) == blocks[2][2]
+    assert {r.item for r in got.values()} == {None} and len({r.record_id for r in got.values()}) == 3
+    for r in archives._files(spark, warc).collect():
+        assert bytes(r.content).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+
+
+def test_archived_pages_without_an_id(spark):
+    rows = [(None, "u1", "same"), (3, "u2", "same"), (None, "u3", "other"), (None, "u4", "other"), (-5, "u5", "same")]
+    got = {r.url: r for r in archives.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {u: r.item for u, r in got.items()} == {u: i for i, u, _ in rows}
+    assert [(got[u].record_type, got[u].refers_to) for u in ("u1", "u2", "u5")] == [("revisit", 3), ("response", None), ("revisit", 3)]
+    assert sorted(got[u].record_type for u in ("u3", "u4")) == ["response", "revisit"] and got["u3"].refers_to is got["u4"].refers_to is None
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions(version):
     text = archives.arc_version_block(version, "f") + "\n" + archives.arc_record(version, 7, "http://u/", "body\nhttp://x 1 2 3 9\n", "20010203", "f") + "\n"
-    assert [(i, u, s, p) for i, u, s, _, p in archives.parse_arc(text.encode())] == [(7, "http://u/", "20010203", b"body\nhttp://x 1 2 3 9\n")]
+    assert [(r[0], r[1], r[2], r[6]) for r in archives.parse_arc(text.encode())] == [(7, "http://u/", "20010203", b"body\nhttp://x 1 2 3 9\n")]
     assert archives.warc_date("20010203") == "2001-02-03T00:00:00Z"
     for bad in (text[:-9], text + "no length here\n", text + "a 1\n"):
         with pytest.raises(ValueError):
