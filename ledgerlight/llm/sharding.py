@@ -1,13 +1,14 @@
 """Two-pass external shuffle into shards.
 
 Pass one scatters records over buckets of a stated size by a seeded hash of the record. Pass two
-reads one bucket per task, sorts it into an order that does not depend on how it arrived, and
-shuffles it with Fisher and Yates' algorithm. Bucket after bucket, the shuffled records have a
-position in one random order of the whole table; position p goes to slot p // shards of shard
-p % shards, so the shards' row counts differ by one at most.
+sorts a task's records by bucket and into an order that does not depend on how they arrived, reads one
+bucket after the other and shuffles it with Fisher and Yates' algorithm. Bucket after bucket, the
+shuffled records have a position in one random order of the whole table; position p goes to slot
+p // shards of shard p % shards, so the shards' row counts differ by one at most.
 
-Bucket counts are taken from the hash column before any text moves, so a record moves once. Only
-bucket counts reach the driver: one number per ``bucket_bytes`` of text.
+Bucket counts are taken from the hash column before any text moves, so a record moves once. A bucket's
+first position, the running sum of the counts before it, travels as a row of its own that sorts
+before the bucket's records, so neither the driver nor a task holds a number per bucket.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlight.operators.running import Ordered
+
 LAW = "rows"
 
 
@@ -40,35 +42,46 @@ def shuffle_shards(
 
     ``size`` is the text's UTF-8 bytes (null: none) plus 1. Input columns named like an output are
     replaced. Equal seeds give equal results for equal rows, however they are partitioned; rows that
-    are equal in ID and text share a bucket. No rows give no rows.
+    are equal in ID and text share a bucket, in the order of their other columns. No rows give no rows.
     """
-    other = [c for c in docs.columns if c.lower() not in {"size", "bucket", "shard", "slot", "_a", "_b"}]
+    other = [c for c in docs.columns if c.lower() not in {"size", "bucket", "shard", "slot", "_a", "_b", "_first"}]
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1
     rows = docs.select(*other, size.alias("size"), F.xxhash64(F.lit(seed), doc_id, text).alias("_a"), F.xxhash64(F.lit(seed + 1), text, doc_id).alias("_b"))
     total = rows.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    rows = rows.withColumn("bucket", F.pmod("_a", F.lit(buckets)).cast("int"))
-    counts = np.zeros(buckets + 1, np.int64)
-    for r in rows.groupBy("bucket").count().collect():
-        counts[r["bucket"] + 1] = r["count"]
-    first = np.cumsum(counts)
-    schema = T.StructType([*docs.select(*other).schema.fields, T.StructField("size", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    rows = rows.withColumn("bucket", F.pmod("_a", F.lit(buckets)).cast("bigint"))
+    counts = Ordered(rows.groupBy("bucket").agg(F.count("*").alias("n")), ["bucket"]).with_columns(running={"upto": ("sum", "n")})
+    heads = counts.select("bucket", (F.col("upto") - F.col("n")).alias("_first"))
+    schema = T.StructType([*docs.select(*other).schema.fields, *(T.StructField(n, t) for n, t in (("size", T.LongType()), ("bucket", T.LongType()), ("shard", T.IntegerType()), ("slot", T.LongType())))])
+
+    def shuffled(pieces: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = pa.Table.from_batches(pieces)
+        first, bucket = one.column("_first")[0].as_py(), one.column("bucket")[0].as_py()
+        one = one.slice(1).take(pa.array(fisher_yates(one.num_rows - 1, seed * 1_000_003 + bucket)))
+        place = np.arange(one.num_rows, dtype=np.int64) + first
+        out = one.drop_columns(["_a", "_b", "_first"])
+        out = out.append_column("shard", pa.array((place % shards).astype(np.int32))).append_column("slot", pa.array(place // shards))
+        yield from out.to_batches(max_chunksize=2_000)
 
     def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if bucket is None:
-            return
-        which = bucket.column("bucket").to_numpy()
-        for k in np.unique(which):
-            one = bucket.filter(pa.array(which == k)) if (which != k).any() else bucket
-            one = one.take(pc.sort_indices(one, sort_keys=[("_a", "ascending"), ("_b", "ascending")]))
-            one = one.take(pa.array(fisher_yates(one.num_rows, seed * 1_000_003 + int(k))))
-            place = np.arange(one.num_rows, dtype=np.int64) + int(first[k])
-            out = one.drop_columns(["_a", "_b"])
-            out = out.append_column("shard", pa.array((place % shards).astype(np.int32))).append_column("slot", pa.array(place // shards))
-            yield from out.to_batches(max_chunksize=2_000)
-
-    return rows.repartition(buckets, "bucket").mapInArrow(shuffle, schema)
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            which = batch.column("bucket").to_numpy()
+            edges = np.r_[0, np.flatnonzero(which[1:] != which[:-1]) + 1, len(which)]
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if a == b:
+                    continue
+                if held and held[0].column("bucket")[0].as_py() != which[a]:
+                    yield from shuffled(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from shuffled(held)
+
+    both = rows.unionByName(heads, allowMissingColumns=True)
+    ties = [f.name for f in docs.select(*other).schema.fields if f.name not in (doc_id, text) and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    order = ["bucket", F.col("_first").asc_nulls_last(), "_a", "_b", *(f"`{c}`" for c in ties)]
+    return both.repartition(buckets, "bucket").sortWithinPartitions(*order).mapInArrow(shuffle, schema)
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:

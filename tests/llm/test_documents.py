@@ -312,6 +312,31 @@ def test_shards(spark, sf, docs):
     assert sorted(sharding.fisher_yates(50, 1)) == list(range(50)) and len(sharding.fisher_yates(0, 1)) == 0
 
 
+def shards_by_hand(rows, shards, seed, buckets, hashes):
+    """Slots of rows (other columns included) from their two hashes, bucket after bucket."""
+    places, at = {}, 0
+    for bucket in range(buckets):
+        mine = sorted((h, row) for h, row in zip(hashes, rows) if h[0] % buckets == bucket)
+        for i, k in enumerate(sharding.fisher_yates(len(mine), seed * 1_000_003 + bucket)):
+            places.setdefault(mine[k][1], []).append(((at + i) % shards, (at + i) // shards))
+        at += len(mine)
+    return {row: sorted(p) for row, p in places.items()}
+
+
+def test_shards_match_brute_force_with_a_hot_group(spark):
+    rows = [(i, f"text {i} " + "x" * (i % 50), i % 3) for i in range(300)] + [(7, "copy", i % 5) for i in range(150)] + [(7, "copy", 1)] * 20
+    frame = spark.createDataFrame(rows, "doc_id long, text string, rank int")
+    seed, size = 5, 1_000
+    total = sum(len(t) + 1 for _, t, _ in rows)
+    hashed = frame.selectExpr("doc_id", "text", "rank", f"xxhash64({seed}, doc_id, text) AS a", f"xxhash64({seed + 1}, text, doc_id) AS b").collect()
+    want = shards_by_hand([(r.doc_id, r.text, r["rank"]) for r in hashed], 3, seed, -(-total // size), [(r.a, r.b) for r in hashed])
+    for parts in (1, 7):
+        got = defaultdict(list)
+        for r in sharding.shuffle_shards(frame.repartition(parts), shards=3, seed=seed, bucket_bytes=size).collect():
+            got[r.doc_id, r.text, r["rank"]].append((r.shard, r.slot))
+        assert {k: sorted(v) for k, v in got.items()} == want
+
+
 def test_shard_files(spark, sf, tmp_path):
     source = spark.read.parquet(f"{sf}/documents.parquet")
     sharding.write_shards(sharding.shuffle_shards(source, shards=3, bucket_bytes=60_000), str(tmp_path / "shards"))
