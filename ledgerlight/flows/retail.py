@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgerlight.functions.columns import categorical_columns, numeric_columns
 from ledgerlight.functions.staging import stage, staged
 from ledgerlight.operators import aggregates as agg
-from ledgerlight.operators import joins, models, partitioning, profile, quality, quantiles, sampling
+from ledgerlight.operators import anomalies, drift, joins, models, partitioning, profile, quality, quantiles, sampling
 from ledgerlight.operators import series as ts
 from ledgerlight.operators.cleaning import OrderRules, clean_orders, cleaning_report
 from ledgerlight.sources import readers, schemas, sinks
@@ -44,8 +44,9 @@ def ingest(
         log.run("logs/cleaning_report", lambda: sinks.write_records(report, sinks.layer_path(base, "logs", "cleaning_report")))
         clean = clean_orders(raw, rules)
         path = sinks.layer_path(base, "silver", "orders")
-        log.run("silver/orders", lambda: sinks.write_parquet(clean, path))
-        if not sinks.verify_write(clean, path).first().matches:
+        seen: list[bool] = []
+        log.run("silver/orders", lambda: seen.append(sinks.write_observed(clean, path).first().matches))
+        if seen != [True]:
             raise RuntimeError(f"{path} does not hold the rows that were written")
     stored = readers.read_parquet(spark, path)
     export = sinks.layer_path(base, "silver", "orders_csv")
@@ -95,7 +96,7 @@ def train(
     fitted, board = models.train_all(fit, test, models=estimators)
     for name, model in fitted.items():
         sinks.save_model(model, sinks.layer_path(base, "gold", f"models/{name}"))
-    forecast = ts.ar_forecast(agg.daily_totals(orders)).filter("status = 'ok'")
+    forecast = ts.ar_forecast(agg.daily_totals(orders), method="likelihood").filter("status = 'ok'")
     arima = quality.regression_metrics(forecast, "actual", "forecast").filter("rows > 0")
     # Errors per order and per day do not compare: each target is ranked for itself.
     daily = arima.withColumns({"model": F.lit("AR_5_1"), "target": F.lit("daily total")})
@@ -140,14 +141,28 @@ def optimise(orders: DataFrame, base: str, partition_rows: int = 1_000_000, salt
     return timings
 
 
+def watch(orders: DataFrame, keys: tuple[str, ...] = ("State",)) -> dict[str, DataFrame]:
+    """Alerts on the data itself: keys with unusual days, and inputs whose distribution moved since the first month."""
+    daily = ts.calendar_fill(agg.daily_totals(orders, keys=keys), keys=keys)
+    unusual = anomalies.anomaly_alerts(anomalies.flag_anomalies(anomalies.decompose(daily, keys), keys), keys)
+    inputs = [c for c in (*SUMMARY, "UnitPrice", "Tax") if c in orders.columns]
+    first = orders.agg(F.min("OrderDate").alias("day")).first().day
+    begin = F.trunc(F.lit(first).cast("date"), "month")
+    edges = drift.baseline_edges(orders.where(F.trunc("OrderDate", "month") == begin), inputs)
+    counted = stage(drift.period_histograms(orders, F.trunc("OrderDate", "month"), edges), "input-histograms")
+    return {"anomalies": unusual, "input_drift": drift.distribution_drift(counted, F.col("period") == begin, edges)}
+
+
 def monitor(
     spark: SparkSession, orders: DataFrame, base: str, run: str, model: str = "Gradient_Boosting", max_rmse: float = 1000.0
 ) -> DataFrame:
-    """Load a saved model, score the orders outside its training split, write the manifest."""
+    """Load a saved model, score the orders outside its training split, write the manifest and the data alerts."""
     loaded = readers.load_model(sinks.layer_path(base, "gold", f"models/{model}"))
     _, held_out = sampling.split(orders, ["OrderID"])
     metrics = quality.regression_metrics(models.score(loaded, held_out), "TotalAmount", "prediction")
     health = quality.model_health(metrics, max_rmse)
+    for name, found in watch(orders).items():
+        sinks.write_records(found, sinks.layer_path(base, "logs", f"monitoring/{name}"))
     sinks.write_manifest(health, sinks.layer_path(base, "logs", "manifest"), run, f"Spark_ML_{model}", base)
     return readers.read_manifest(spark, sinks.layer_path(base, "logs", "manifest"))
 

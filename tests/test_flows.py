@@ -35,6 +35,11 @@ def test_retail_flow(spark, order_csv, tmp_path):
     assert {r.model for r in accuracies.collect()} == {*estimators, "AR_5_1"}
     assert spark.read.json(f"{base}/logs/optimization/timings").count() == 6
     assert spark.read.json(f"{base}/logs/optimization/partitions").count() == 2
+    states = spark.read.json(f"{base}/logs/monitoring/anomalies")
+    assert states.count() == orders.select("State").distinct().count() and "alert" in states.columns
+    moved = spark.read.json(f"{base}/logs/monitoring/input_drift")
+    months = orders.select(F.trunc("OrderDate", "month")).distinct().count()
+    assert moved.count() == months * moved.select("column").distinct().count() and moved.agg(F.sum("rows")).first()[0] % orders.count() == 0
     assert len(list((tmp_path / "gold" / "analysis").iterdir())) == len(retail.reports(orders)) + 1
     assert spark.range(1).count() == 1  # the session is still open
 
