@@ -252,6 +252,52 @@ def test_language_held_out_accuracy_and_edges(spark, sf, docs):
         language.train(spark.read.parquet(f"{sf}/documents.parquet"), max_languages=1)
 
 
+def grams_by_hand(text):
+    """Slots of all n-grams of a text: letters lower-cased, everything else a blank, blanks alone not counted."""
+    points = [ord(c) if ord(c) >= 256 or c.isalpha() else 32 for c in f" {text.lower()} "]
+    letter = [p >= 256 or chr(p).isalpha() for p in points]
+    found = []
+    for n in language.SIZES:
+        for at in range(len(points) - n + 1):
+            if not any(letter[at : at + n]):
+                continue
+            h = n * 0x01000193 & 0xFFFFFFFF
+            for i in range(n):
+                h = (h ^ points[at + i]) * int(language._MULTIPLIERS[i]) & 0xFFFFFFFF
+                h ^= h >> 15
+            found.append(h % language.SLOTS)
+    return found
+
+
+def test_language_matches_naive_bayes_by_hand(spark, docs):
+    import math
+    from collections import Counter
+
+    rng = random.Random(12)
+    alphabets = {"aa": "abcdeé ", "bb": "cdefg, ", "cc": "中文字cd "}
+    rows = [(i, "".join(rng.choice(alphabets[name]) for _ in range(rng.randint(1, 40))), name) for i, name in enumerate(["aa", "bb", "bb", "cc"] * 20)]
+    rows += [(900, None, "aa"), (901, "abc", None), (902, "", "bb"), (0, rows[0][1], "aa")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(frame)
+    seen, texts = {n: Counter() for n in alphabets}, Counter()
+    for _, text, name in rows:
+        if text is not None and name:
+            seen[name].update(grams_by_hand(text))
+            texts[name] += 1
+    whole = {n: sum(c.values()) + 0.5 * language.SLOTS for n, c in seen.items()}
+    asked = [r for r in rows if r[1]] + [(950, "dé 12 中", None), (951, "1 2 3", None)]
+    got = {(r.doc_id, r.text): r for r in language.identify(spark.createDataFrame(asked, frame.schema), model, "text", "doc_id", "text").collect()}
+    for i, text, _ in asked:
+        r = got[i, text]
+        if not any(map(str.isalpha, text)):
+            assert (r.lang_pred, r.score) == (language.UNDETERMINED, 0.0)
+            continue
+        logs = {n: math.log(texts[n] / sum(texts.values())) + sum(math.log((seen[n][g] + 0.5) / whole[n]) for g in grams_by_hand(text)) for n in seen}
+        best = max(sorted(logs), key=logs.get)
+        assert r.lang_pred == best
+        assert r.score == pytest.approx(1 / sum(math.exp(v - logs[best]) for v in logs.values()), rel=1e-3)
+
+
 # --- packing and sharding ---
 
 
@@ -312,6 +358,44 @@ def test_shards(spark, sf, docs):
     assert sorted(sharding.fisher_yates(50, 1)) == list(range(50)) and len(sharding.fisher_yates(0, 1)) == 0
 
 
+def hilbert_by_hand(point, bits):
+    """Index of a point by walking the curve's cells from the largest to the smallest, one bit per dimension at a time."""
+    d, x = len(point), list(point)
+    for level in range(bits - 1, 0, -1):
+        bit = 1 << level
+        for i in range(d):
+            if x[i] & bit:
+                x[0] ^= bit - 1
+            else:
+                swap = (x[0] ^ x[i]) & (bit - 1)
+                x[0] ^= swap
+                x[i] ^= swap
+    for i in range(1, d):
+        x[i] ^= x[i - 1]
+    turn = 0
+    for level in range(bits - 1, 0, -1):
+        if x[d - 1] & 1 << level:
+            turn ^= (1 << level) - 1
+    return int("".join(str((v ^ turn) >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_packed_documents_follow_the_curve(spark, sf):
+    """Sequences hold documents in the order of keys that are computed here one by one."""
+    source = spark.read.parquet(f"{sf}/documents.parquet")
+    name = plans.tokenizer_file()
+    coder = tokens.loaded(name)
+    signs = packing.projection(max(coder.tokenizer.get_vocab_size(), 3))
+    keys = {}
+    for r in source.collect():
+        ids = coder.tokenizer.encode(r.text or "", add_special_tokens=False).ids
+        mean = signs[ids].astype(float).mean(axis=0) if ids else np.zeros(packing.DIMENSIONS)
+        top = (1 << packing.BITS) - 1
+        keys[r.doc_id] = hilbert_by_hand([min(top, int((m + 1) / 2 * (top + 1))) for m in mean], packing.BITS)
+    pieces = sorted(packing.pack(source, name, length=4096, keep_ids=False).collect(), key=lambda r: (r.sequence_id, r.offset))
+    order = [keys[r.doc_id] for r in pieces if r.start == 0 and r.length == r.doc_tokens]
+    assert len(order) > 50 and order == sorted(order)
+
+
 def shards_by_hand(rows, shards, seed, buckets, hashes):
     """Slots of rows (other columns included) from their two hashes, bucket after bucket."""
     places, at = {}, 0
