@@ -6,10 +6,18 @@ vectors) and the largest weight of each term. For a query, the sum of its weight
 term maxima bounds every score in the block. Blocks are scored in descending order of that bound
 until it falls below the query's k-th best score so far.
 
-Queries are grouped as well: a task takes one group of queries and one slice of consecutive blocks,
-both of stated size. The slices' best k are merged by (score, ID), so nothing but k rows per query
-and slice is shuffled back. Every query meets every slice, because the queries are a stated set; the
-work of a slice is what the bounds leave.
+The maxima are a small table next to the blocks, and bounds hold across all blocks:
+
+1.  Every query meets the maxima of all blocks, and scores the block with the highest bound. The
+    k-th best score in there is its floor.
+2.  Queries meet the maxima again. A block is sent only to those groups of queries of which one has
+    a bound that reaches its floor.
+3.  A task searches one group of queries in one slice of consecutive blocks, beginning from the
+    floors, and returns the best k of the slice.
+
+Groups of queries, chunks of maxima and slices are of stated size, and none is listed on the driver.
+Every query meets the maxima of every block, because the queries are a stated set; what is scored
+beyond is what the bounds leave.
 """
 
 from __future__ import annotations
@@ -27,7 +35,13 @@ from ledgerlight.llm import scratch
 
 BLOCK_ROWS = 128
 SLICE_BLOCKS = 32
-QUERY_ROWS = 512
+#: Queries stored together, and pieces of that size that one task holds on average.
+PIECE_ROWS = 512
+GROUP_PIECES = 8
+#: Blocks whose maxima one task holds on average.
+CHUNK_BLOCKS = 4096
+#: Tasks over which a piece's first blocks are dealt.
+FIRST_PARTS = 8
 
 
 def whole_numbers(vector: Column, scale: int = 64) -> Column:
@@ -49,24 +63,33 @@ def exact_dtype(*parts: np.ndarray) -> type:
     return np.float64 if width * sizes[0] * sizes[-1] < 2**53 else object
 
 
-def search_blocks(queries: np.ndarray, query_ids: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def block_bounds(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """queries x blocks: the most that a row of the block can score, exactly."""
+    kind = exact_dtype(queries, np.vstack([high, low]))
+    q = queries.astype(kind)
+    return np.maximum(q, 0) @ high.T.astype(kind) + np.minimum(q, 0) @ low.T.astype(kind)
+
+
+def search_blocks(
+    queries: np.ndarray, query_ids: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int, floors: list[int | None] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(query index, ID, score) of each query's k best rows, and how many (query, block) pairs were scored.
 
-    A block is skipped only if its bound is below the k-th score, so ties reach the smaller ID.
+    ``floors`` are scores that each query's k-th best row is known to reach. A block is skipped only
+    if its bound is below the floor or the k-th score, so ties reach the smaller ID.
     """
     kind = exact_dtype(queries, *([np.vstack([b[1] for b in blocks])] if blocks else []))
     q = queries.astype(kind)
-    bounds = np.empty((len(q), len(blocks)), kind)
-    for j, (_, rows) in enumerate(blocks):
-        high, low = term_bounds(rows)
-        bounds[:, j] = np.maximum(q, 0) @ high.astype(kind) + np.minimum(q, 0) @ low.astype(kind)
+    limits = [term_bounds(rows) for _, rows in blocks]
+    bounds = block_bounds(queries, np.array([h for h, _ in limits]), np.array([x for _, x in limits])).astype(kind) if blocks else np.empty((len(q), 0), kind)
     order = np.argsort(-bounds, axis=1, kind="stable")
     lowest = -(2**62) if kind is object else -np.inf
+    floor = np.array([lowest if f is None else f for f in floors], kind) if floors is not None else np.full(len(q), lowest, kind)
     best_score = np.full((len(q), 0), lowest, kind)
     best_id = np.zeros((len(q), 0), np.int64)
     alive, scored = np.arange(len(q)), 0
     for step in range(len(blocks)):
-        kth = best_score[:, k - 1] if best_score.shape[1] >= k else np.full(len(q), lowest, kind)
+        kth = np.maximum(best_score[:, k - 1], floor) if best_score.shape[1] >= k else floor
         alive = alive[bounds[alive, order[alive, step]] >= kth[alive]]
         if not len(alive):
             break
@@ -92,7 +115,7 @@ def search_blocks(queries: np.ndarray, query_ids: np.ndarray, blocks: list[tuple
 
 
 def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Runs of at most ``size`` rows of each partition's ID order: (part, block, n, ids, width, cells), stored."""
+    """Runs of at most ``size`` rows of each partition's ID order, stored: (part, block, n, width, ids, cells, limits)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -105,8 +128,8 @@ def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
             for i, v in enumerate(vectors):
                 cells[i, : len(v)] = v
             return pa.RecordBatch.from_pydict(
-                {"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
-                 "width": pa.array([width], pa.int32()), "cells": pa.array([cells.tobytes()], pa.binary())}
+                {"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "width": pa.array([width], pa.int32()),
+                 "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "cells": pa.array([cells.tobytes()], pa.binary()), "limits": pa.array([np.concatenate(term_bounds(cells)).tobytes()], pa.binary())}
             )
 
         for batch in batches:
@@ -119,27 +142,101 @@ def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
         if ids:
             yield out()
 
-    return scratch.keep(rows.mapInArrow(pack, "part int, block int, n int, ids binary, width int, cells binary"), name)
-
-
-def _numbered(packed: DataFrame, label: str, rows: int) -> tuple[DataFrame, int]:
-    """Consecutive partitions put together to about ``rows`` rows under dense labels, and how many."""
-    counts = sorted((r["part"], r["n"]) for r in packed.groupBy("part").agg(F.sum("n").alias("n")).collect())
-    before, labels = 0, []
-    for part, n in counts:
-        labels.append((part, before // rows))
-        before += n
-    dense = {old: i for i, old in enumerate(sorted({x for _, x in labels}))}
-    table = packed.sparkSession.createDataFrame([(part, dense[x]) for part, x in labels], f"part int, {label} int")
-    return packed.join(table, "part"), len(dense)
-
-
-def _unpacked(frame: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(np.frombuffer(i, np.int64), np.frombuffer(c, np.int64).reshape(-1, w) if w else np.zeros((len(i) // 8, 0), np.int64)) for i, w, c in zip(frame["ids"], frame["width"], frame["cells"])]
-
-
-def _widened(parts: list[tuple[np.ndarray, np.ndarray]], width: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(i, np.pad(c, ((0, 0), (0, width - c.shape[1])))) for i, c in parts]
+    return scratch.keep(rows.mapInArrow(pack, "part int, block int, n int, width int, ids binary, cells binary, limits binary"), name)
+
+
+def _matrix(cells: list[bytes], sizes: list[int], widths: list[int], width: int) -> list[np.ndarray]:
+    """Stored rows of whole numbers, ``sizes`` of them each, widened with zeros."""
+    found = [np.frombuffer(c, np.int64).reshape(n, w) for c, n, w in zip(cells, sizes, widths)]
+    return [np.pad(f, ((0, 0), (0, width - f.shape[1]))) for f in found]
+
+
+class Asked:
+    """The queries of some pieces: their vectors, IDs, floors, and where each lies."""
+
+    def __init__(self, pieces: pd.DataFrame, width: int):
+        pieces = pieces.sort_values(["part", "block"])
+        self.part, self.block = (np.repeat(pieces[c].to_numpy(), pieces["n"]) for c in ("part", "block"))
+        self.at = np.concatenate([np.arange(n) for n in pieces["n"]])
+        self.ids = np.concatenate([np.frombuffer(i, np.int64) for i in pieces["ids"]])
+        self.cells = np.vstack(_matrix(pieces["cells"], pieces["n"], pieces["width"], width))
+        self.floors: list[int | None] = [None] * len(self.ids)
+        if "floors" in pieces:
+            starts = np.cumsum(pieces["n"].to_numpy()) - pieces["n"].to_numpy()
+            for start, known in zip(starts.tolist(), pieces["floors"]):
+                for f in known if known is not None else ():
+                    self.floors[start + f["at"]] = f["floor"]
+
+
+def _widest(*frames: pd.DataFrame) -> int:
+    return int(max(f["width"].max() for f in frames))
+
+
+def _limits(summaries: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    both = np.stack(_matrix(summaries["limits"], [2] * len(summaries), summaries["width"], width))
+    return both[:, 0], both[:, 1]
+
+
+def _first_blocks(pieces: pd.DataFrame, summaries: pd.DataFrame) -> pd.DataFrame:
+    """Each query's block of the highest bound in a chunk."""
+    if not len(pieces) or not len(summaries):
+        return pd.DataFrame({"part": [], "block": [], "at": [], "bound": [], "d_part": [], "d_block": []})
+    width = _widest(pieces, summaries)
+    asked = Asked(pieces, width)
+    bounds = block_bounds(asked.cells, *_limits(summaries, width)).astype(np.float64)
+    best = bounds.argmax(axis=1)
+    return pd.DataFrame(
+        {"part": asked.part, "block": asked.block, "at": asked.at, "bound": bounds[np.arange(len(best)), best],
+         "d_part": summaries["part"].to_numpy()[best], "d_block": summaries["block"].to_numpy()[best]}
+    )
+
+
+def _live_blocks(pieces: pd.DataFrame, summaries: pd.DataFrame) -> pd.DataFrame:
+    """The blocks of a chunk in which a query of the group can still find one of its k best."""
+    if not len(pieces) or not len(summaries):
+        return pd.DataFrame({"asker": [], "part": [], "block": []})
+    width = _widest(pieces, summaries)
+    asked = Asked(pieces, width)
+    bounds = block_bounds(asked.cells, *_limits(summaries, width))
+    known = np.array([f is not None for f in asked.floors])
+    floors = np.array([f or 0 for f in asked.floors], np.int64).astype(bounds.dtype)
+    live = ((bounds >= floors[:, None]) | ~known[:, None]).any(axis=0)
+    return pd.DataFrame({"asker": pieces["asker"].iloc[0], "part": summaries["part"].to_numpy()[live], "block": summaries["block"].to_numpy()[live]})
+
+
+def _floors(pieces: DataFrame, summaries: DataFrame, docs: DataFrame, n_askers: int, n_chunks: int, k: int) -> DataFrame:
+    """(part, block, floors) of each piece with a floor: the k-th best score in the query's first block."""
+    left = pieces.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))).drop("limits")
+    right = summaries.withColumn("asker", F.explode(F.sequence(F.lit(0), F.lit(n_askers - 1))))
+    met = left.groupBy("asker", "chunk").cogroup(right.groupBy("asker", "chunk")).applyInPandas(_first_blocks, "part int, block int, at int, bound double, d_part int, d_block int")
+    first = met.groupBy("part", "block", "at").agg(F.max(F.struct("bound", "d_part", "d_block")).alias("b"))
+    wanted = scratch.keep(first.groupBy("part", "block", F.col("b.d_part").alias("d_part"), F.col("b.d_block").alias("d_block")).agg(F.sort_array(F.collect_list("at")).alias("asks")), "first-blocks")
+    deal = F.pmod(F.xxhash64("d_part", "d_block"), F.lit(FIRST_PARTS)).cast("int")
+    held = docs.select(F.col("part").alias("d_part"), F.col("block").alias("d_block"), F.col("ids").alias("d_ids"), F.col("n").alias("d_n"), F.col("width").alias("d_width"), F.col("cells").alias("d_cells"))
+    blocks = wanted.join(held, ["d_part", "d_block"]).withColumn("deal", deal)
+    mine = pieces.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(FIRST_PARTS - 1)))).drop("limits")
+
+    def score(piece: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        part, block, at, floor = [], [], [], []
+        if len(piece) and len(blocks):
+            width = max(_widest(piece), int(blocks["d_width"].max()))
+            asked = Asked(piece, width)
+            rows = _matrix(blocks["d_cells"], blocks["d_n"], blocks["d_width"], width)
+            for ids, cells, asks in zip(blocks["d_ids"], rows, blocks["asks"]):
+                asks = np.asarray(asks, np.int64)
+                found = search_blocks(asked.cells[asks], asked.ids[asks], [(np.frombuffer(ids, np.int64), cells)], k)
+                times = np.bincount(found[0], minlength=len(asks))
+                least = np.full(len(asks), np.iinfo(np.int64).max)
+                np.minimum.at(least, found[0], found[2])
+                full = times >= k
+                at += asks[full].tolist()
+                floor += least[full].tolist()
+            part, block = [int(piece["part"].iloc[0])] * len(at), [int(piece["block"].iloc[0])] * len(at)
+        return pd.DataFrame({"part": part, "block": block, "at": at, "floor": floor})
+
+    keys = ["part", "block", "deal"]
+    known = mine.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(score, "part int, block int, at int, floor long")
+    return scratch.keep(known.groupBy("part", "block").agg(F.collect_list(F.struct("at", "floor")).alias("floors")), "floors")
 
 
 def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -156,26 +253,33 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, vec
     if not n_asked:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    parts, groups = (max(1, -(-n // size)) for n, size in ((total, BLOCK_ROWS * SLICE_BLOCKS), (n_asked, QUERY_ROWS)))
+    parts, groups = (max(1, -(-n // size)) for n, size in ((total, BLOCK_ROWS * SLICE_BLOCKS), (n_asked, PIECE_ROWS * GROUP_PIECES)))
     docs = _packed(rows.repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id"), BLOCK_ROWS, "blocks")
-    queries = _packed(asked.repartitionByRange(groups, "vec_id").sortWithinPartitions("vec_id"), QUERY_ROWS, "queries")
-    docs, n_slices = _numbered(docs, "slice", BLOCK_ROWS * SLICE_BLOCKS)
-    queries, n_askers = _numbered(queries, "asker", QUERY_ROWS)
-    # Work list: one group of rows per query group and slice, dealt by arithmetic on dense labels.
-    left = queries.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))))
-    right = docs.withColumn("asker", F.explode(F.sequence(F.lit(0), F.lit(n_askers - 1))))
-
-    def search(asker: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
-        if not len(asker) or not len(blocks):
-            return empty
-        asked, held = _unpacked(asker), _unpacked(blocks.sort_values(["part", "block"]))
-        width = max(c.shape[1] for _, c in [*asked, *held])
-        asked, held = _widened(asked, width), _widened(held, width)
-        ids = np.concatenate([i for i, _ in asked])
-        at, found, score, _ = search_blocks(np.vstack([c for _, c in asked]), ids, held, k)
-        return pd.DataFrame({"query_id": ids[at], "vec_id": found, "score": score})
-
-    found = left.groupBy("asker", "slice").cogroup(right.groupBy("asker", "slice")).applyInPandas(search, "query_id long, vec_id long, score long")
+    pieces = _packed(asked.repartitionByRange(groups, "vec_id").sortWithinPartitions("vec_id"), PIECE_ROWS, "queries")
+    # Groups and chunks are dealt by hash, so that their labels are plain numbers on both sides.
+    n_chunks, n_askers = (max(1, -(-t.count() // size)) for t, size in ((docs, CHUNK_BLOCKS), (pieces, GROUP_PIECES)))
+    dealt = lambda n: F.pmod(F.xxhash64("part", "block"), F.lit(n)).cast("int")
+    pieces = pieces.withColumn("asker", dealt(n_askers))
+    summaries = docs.select("part", "block", "width", "limits", dealt(n_chunks).alias("chunk"))
+    known = pieces.drop("limits").join(_floors(pieces, summaries, docs, n_askers, n_chunks, k), ["part", "block"], "left")
+    known = scratch.keep(known, "asked")
+    left = known.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
+    right = summaries.withColumn("asker", F.explode(F.sequence(F.lit(0), F.lit(n_askers - 1))))
+    met = left.groupBy("asker", "chunk").cogroup(right.groupBy("asker", "chunk")).applyInPandas(_live_blocks, "asker int, part int, block int")
+    live = scratch.keep(met.withColumn("slice", F.floor(F.col("block") / SLICE_BLOCKS).cast("int")), "live-blocks")
+    tasks = live.select(F.col("asker").alias("to"), F.col("part").alias("d_part"), F.col("slice").alias("d_slice")).distinct()
+    sent = docs.drop("limits").join(live, ["part", "block"])
+
+    def search(pieces: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        if not len(pieces) or not len(blocks):
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
+        width = _widest(pieces, blocks)
+        asked, blocks = Asked(pieces, width), blocks.sort_values("block")
+        held = [(np.frombuffer(i, np.int64), c) for i, c in zip(blocks["ids"], _matrix(blocks["cells"], blocks["n"], blocks["width"], width))]
+        at, found, score, _ = search_blocks(asked.cells, asked.ids, held, k, asked.floors)
+        return pd.DataFrame({"query_id": asked.ids[at], "vec_id": found, "score": score})
+
+    left = known.join(tasks, F.col("asker") == F.col("to")).groupBy("to", "d_part", "d_slice")
+    found = left.cogroup(sent.groupBy("asker", "part", "slice")).applyInPandas(search, "query_id long, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from ledgerlight.llm import archives, main_text, plans, topk, url_filter
@@ -108,6 +109,45 @@ def test_top_k(spark):
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
+def best_by_hand(vectors, every, k):
+    rows = [(i, np.array(v)) for i, v in vectors]
+    want = []
+    for q, x in rows:
+        if q % every == 0:
+            best = sorted((-int(np.floor(64 * x) @ np.floor(64 * y)), i) for i, y in rows if i != q)[:k]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(want)
+
+
+def test_top_k_over_many_blocks_slices_and_groups(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 8), ("SLICE_BLOCKS", 2), ("PIECE_ROWS", 3), ("GROUP_PIECES", 2), ("CHUNK_BLOCKS", 4), ("FIRST_PARTS", 3)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(5)
+    vectors = [(i, np.round(rng.normal(0, 0.4, 3), 1).tolist()) for i in range(200)]  # many equal scores
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(6)
+    for k in (5, 20):  # of 20, no block alone has as many other rows
+        assert sorted(map(tuple, topk.top_k(frame, every=5, k=k).collect())) == best_by_hand(vectors, 5, k)
+    # A third of the rows under one ID that is also a query, and vectors without components.
+    same = [(10, [0.1 * (i % 7), 0.2]) for i in range(100)] + vectors
+    got = topk.top_k(spark.createDataFrame(same, frame.schema), every=100, k=3).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == best_by_hand([(i, (v + [0.0])[:3]) for i, v in same], 100, 3)
+    bare = spark.createDataFrame([(0, []), (1, []), (2, [])], frame.schema)
+    assert sorted(map(tuple, topk.top_k(bare, every=2, k=1).collect())) == [(0, 1, 1, 0), (2, 1, 0, 0)]
+
+
+def test_blocks_go_only_where_a_bound_reaches_the_floor(monkeypatch):
+    limits = lambda rows: np.concatenate(topk.term_bounds(rows)).tobytes()
+    blocks = [np.full((4, 2), x, np.int64) for x in (9, 5, 1)]
+    summaries = pd.DataFrame({"part": [0, 0, 1], "block": [0, 1, 0], "width": [2] * 3, "limits": [limits(b) for b in blocks]})
+    piece = {"part": [0], "block": [0], "n": [2], "width": [2], "ids": [np.array([20, 40]).tobytes()], "cells": [np.array([[1, 1], [2, 1]]).tobytes()], "asker": [7]}
+    first = topk._first_blocks(pd.DataFrame(piece), summaries)
+    assert first[["at", "bound", "d_part", "d_block"]].values.tolist() == [[0, 18, 0, 0], [1, 27, 0, 0]]
+    known = lambda *floors: pd.DataFrame(piece | {"floors": [[{"at": i, "floor": f} for i, f in enumerate(floors) if f is not None]]})
+    live = lambda *floors: topk._live_blocks(known(*floors), summaries)[["asker", "part", "block"]].values.tolist()
+    assert live(18, 27) == [[7, 0, 0]] and live(18, 15) == [[7, 0, 0], [7, 0, 1]]  # an equal bound can hold a smaller ID
+    assert len(live(18, None)) == 3  # without a floor every block may hold an answer
+
+
 def test_bounds_skip_blocks():
     rows = np.vstack([np.full((50, 4), 9), np.full((50, 4), 1)]).astype(np.int64)
     blocks = [(np.arange(50), rows[:50]), (np.arange(50, 100), rows[50:])]
