@@ -24,6 +24,7 @@ Anchors are only a filter without false negatives; equality is settled by sorted
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 
@@ -48,12 +49,28 @@ _POSITION = 24  # bits of a packed number that hold a position in a stretch of t
 ANSWER = "block int, owner int, payload binary"
 
 
-def squeeze(array: np.ndarray) -> bytes:
-    return zstandard.compress(array.tobytes(), 1)
+@functools.cache
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """This worker's compressor and decompressor; messages are small and many."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def expand(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), kind)
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """The arrays' bytes one after the other, compressed."""
+    return _codec()[0].compress(b"".join([a.tobytes() for a in arrays]))
+
+
+def expand(data: bytes, kind: str = "u1") -> np.ndarray:
+    return np.frombuffer(_codec()[1].decompress(data), kind)
+
+
+def request_fields(payload: bytes) -> list[np.ndarray]:
+    """The arrays of a block's request: per context the number of windows, the anchor's place and the
+    document, the contexts' bytes; the single windows' documents and bytes."""
+    data = expand(payload)
+    contexts, letters, windows = np.frombuffer(data[:24].tobytes(), np.int64).tolist()
+    sizes = [contexts, contexts, 8 * contexts, letters, 8 * windows, WIDTH * windows]
+    return np.split(data[24:], np.cumsum(sizes)[:-1])
 
 
 def least_grams(grams: np.ndarray, stretch: int = 1 << _POSITION) -> np.ndarray:
@@ -162,19 +179,19 @@ class Block:
         self.hot_first, self.hot_of = self.distinct(self.hot_start, np.full(len(self.hot_start), WIDTH), self.hot_row)
 
     def settle_requests(self, owners: int):
-        """(owner, payload parts) of the distinct contexts, by anchor, and hot windows, by their hash."""
+        """(owner, payload) of the distinct contexts, by anchor, and hot windows, by their hash."""
         contexts = self.cold[self.context_first]
         windows = self.hot_start[self.hot_first]
         window_hash = mix(self.hashes.of(windows, windows + WIDTH))
         for owner, (c, w) in enumerate(zip(self.by_owner(owners, self.gram[contexts]), self.by_owner(owners, window_hash))):
             if len(c) or len(w):
                 x = contexts[c]
-                parts = (
-                    self.count[x].astype(np.uint8), (self.anchor[x] - self.start[x]).astype(np.uint8), self.doc[self.row[x]],
-                    self.data[ragged(self.start[x], self.count[x] + WIDTH - 1)],
+                text = self.data[ragged(self.start[x], self.count[x] + WIDTH - 1)]
+                yield owner, squeeze(
+                    np.array([len(c), len(text), len(w)], np.int64),
+                    self.count[x].astype(np.uint8), (self.anchor[x] - self.start[x]).astype(np.uint8), self.doc[self.row[x]], text,
                     self.doc[self.hot_row[self.hot_first[w]]], self.data[ragged(windows[w], np.full(len(w), WIDTH))],
-                )
-                yield owner, parts
+                )
 
     def earlier(self, answers: dict[int, bytes], owners: int) -> np.ndarray:
         """Starts of the windows that an earlier document has too."""
@@ -184,7 +201,7 @@ class Block:
         mask, flag = np.zeros(len(contexts), np.uint32), np.zeros(len(windows), bool)
         for owner, (c, w) in enumerate(zip(self.by_owner(owners, self.gram[contexts]), self.by_owner(owners, window_hash))):
             if len(c) or len(w):
-                answer = zstandard.decompress(answers[owner])
+                answer = expand(answers[owner]).tobytes()
                 mask[c] = np.frombuffer(answer, np.uint32, len(c))
                 flag[w] = np.frombuffer(answer, np.uint8, len(w), 4 * len(c)).astype(bool)
         # A document after the block's first one with the same context has lost the whole context.
@@ -236,11 +253,10 @@ def answer_anchors(table: pa.Table, hot_blocks: int) -> pa.Table:
 def answer_windows(table: pa.Table) -> pa.Table:
     """For each context a bit per window, for each single window a byte: has an earlier document it too?"""
     worker.enter("powers")
-    fields = [[zstandard.decompress(x.as_py()) for x in table.column(c)] for c in ("counts", "anchors", "docs", "texts", "window_docs", "windows")]
-    count, anchor = (np.frombuffer(b"".join(x), np.uint8).astype(np.int64) for x in fields[:2])
-    doc = np.frombuffer(b"".join(fields[2]), np.int64)
-    single_doc = np.frombuffer(b"".join(fields[4]), np.int64)
-    data = np.frombuffer(b"".join([*fields[3], *fields[5]]), np.uint8)
+    fields = list(zip(*(request_fields(x.as_py()) for x in table.column("payload"))))
+    count, anchor = (np.concatenate(x).astype(np.int64) for x in fields[:2])
+    doc, single_doc = (np.concatenate(fields[i]).view(np.int64) for i in (2, 4))
+    data = np.concatenate([*fields[3], *fields[5]])
     text = PrefixHashes(data)
     length = count + WIDTH - 1
     start = np.cumsum(length) - length
@@ -266,7 +282,7 @@ def answer_windows(table: pa.Table) -> pa.Table:
     flag = earlier[inside:].astype(np.uint8)
     context_edges = np.r_[0, np.cumsum([len(x) for x in fields[0]], dtype=np.int64)]
     single_edges = np.r_[0, np.cumsum([len(x) // 8 for x in fields[4]], dtype=np.int64)]
-    payload = [zstandard.compress(mask[a:b].astype(np.uint32).tobytes() + flag[c:d].tobytes(), 1) for a, b, c, d in zip(context_edges[:-1], context_edges[1:], single_edges[:-1], single_edges[1:])]
+    payload = [squeeze(mask[a:b].astype(np.uint32), flag[c:d]) for a, b, c, d in zip(context_edges[:-1], context_edges[1:], single_edges[:-1], single_edges[1:])]
     owner_id = table.column("owner")[0].as_py()
     return pa.table({"block": table.column("block").cast(pa.int32()), "owner": pa.array([owner_id] * table.num_rows, pa.int32()), "payload": pa.array(payload, pa.binary())})
 
@@ -331,20 +347,21 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         """Answers of a stage: its owners are numbered from stage << 40, so no number of owners reaches the next."""
         return {o - (stage << 40): p for o, p in _answers(answers).items() if o >> 40 == stage}
 
+    def requests(block: int, asked: list[tuple[int, bytes]]) -> pa.Table:
+        return pa.table({"owner": pa.array([o for o, _ in asked], pa.int32()), "block": pa.array([block] * len(asked), pa.int32()), "payload": pa.array([p for _, p in asked], pa.binary())})
+
     def ask_anchors(rows: pa.Table, answers: pa.Table) -> pa.Table:
         block = rows.column("block")[0].as_py() if rows.num_rows else 0
-        asked = list(block_of(rows, answers)[0].anchor_requests(owners)) if rows.num_rows else []
-        return pa.table({"owner": pa.array([o for o, _ in asked], pa.int32()), "block": pa.array([block] * len(asked), pa.int32()), "payload": pa.array([p for _, p in asked], pa.binary())})
+        return requests(block, list(block_of(rows, answers)[0].anchor_requests(owners)) if rows.num_rows else [])
 
     def ask_windows(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        names = ["counts", "anchors", "docs", "texts", "window_docs", "windows"]
         asked, number = [], 0
         if rows.num_rows:
             number = rows.column("block")[0].as_py()
             block, _ = block_of(rows, answers)
             block.choose(only(answers, 1), owners)
-            asked = [(o, [squeeze(p) for p in parts]) for o, parts in block.settle_requests(sorters)]
-        return pa.table({"owner": pa.array([o for o, _ in asked], pa.int32()), "block": pa.array([number] * len(asked), pa.int32())} | {n: pa.array([p[i] for _, p in asked], pa.binary()) for i, n in enumerate(names)})
+            asked = list(block.settle_requests(sorters))
+        return requests(number, asked)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*extra).schema.fields]
     schema = ", ".join(["doc_id long", *fields, "n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary, kept_text string"])
@@ -382,10 +399,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return stored.select("block", (F.col("owner") + F.lit(stage << 40)).alias("owner"), "payload")
 
     by_block = content.groupBy("block")
-    asked = by_block.cogroup(left_out.groupBy("block")).applyInArrow(ask_anchors, "owner int, block int, payload binary")
+    request = "owner int, block int, payload binary"
+    asked = by_block.cogroup(left_out.groupBy("block")).applyInArrow(ask_anchors, request)
     shared = scratch.keep(asked.groupBy("owner").applyInArrow(lambda rows: answer_anchors(rows, hot_blocks), ANSWER), "anchor-answers")
     answers = left_out.unionByName(with_stage(shared, 1))
-    request = "owner int, block int, counts binary, anchors binary, docs binary, texts binary, window_docs binary, windows binary"
     asked = by_block.cogroup(answers.groupBy("block")).applyInArrow(ask_windows, request)
     settled = scratch.keep(asked.groupBy("owner").applyInArrow(answer_windows, ANSWER), "window-answers")
     answers = answers.unionByName(with_stage(settled, 2))
