@@ -7,30 +7,38 @@ phrase's length and nothing else; the reduction drops no occurrence. All phrases
 backwards at once through wavelet ranks, occurrences are located by sampled suffix positions, and
 the words they cover are merged into spans.
 
-No text is shuffled. The benchmark is what travels: it is read in parts of at most ``PART_WORDS``
-words, each part broadcast for one pass over the documents, whose marks are then put together; a
-benchmark of ordinary size is one part.
+No text is shuffled. The benchmark is what travels. Spark splits its items into pieces of words, numbers
+the words and groups equal windows with their items, in parts of about ``PART_WORDS`` words at most; each
+part is broadcast for one pass over the documents, whose marks are stored for the next. A benchmark of
+ordinary size is one part. A long item is cut into pieces, so no part is larger for it.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+import itertools
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import worker
+from ledgerlight.llm import scratch, worker
 from ledgerlight.llm.arrow_text import ragged, slices, utf8
 from ledgerlight.llm.fm_index import FMIndex
 from ledgerlight.llm.rolling import PrefixHashes, mix
 
 WINDOW = 10
-#: Words of benchmark text that one pass holds; at most about 20 bytes a word are broadcast.
-PART_WORDS = 2_000_000
+#: Words of benchmark text that one pass holds; a word adds one window, some 60 bytes of broadcast.
+PART_WORDS = 1_000_000
+#: Windows of an item that stay together; a longer item is cut.
+PIECE_WORDS = 4096
+#: A word of lower-cased text, the same bytes as ``_IN_WORD``.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -54,33 +62,33 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Phrases:
-    """The windows of benchmark items as rows of word numbers (from 1), and the items of each."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        texts = pa.array([t for _, t in items], pa.large_string())
-        data, offsets = utf8(texts)
-        lower, start, end, item = words_of(data, offsets)
-        raw = lower.tobytes()
-        self.numbers: dict[bytes, int] = {}
-        number = [self.numbers.setdefault(raw[a:b], len(self.numbers) + 1) for a, b in zip(start.tolist(), end.tolist())]
-        by_item = np.searchsorted(item, np.arange(len(items) + 1))
-        found: dict[tuple, set[str]] = defaultdict(set)
-        for i, (ident, _) in enumerate(items):
-            own = number[by_item[i] : by_item[i + 1]]
-            for k in range(max(1, len(own) - window + 1) if own else 0):
-                found[tuple(own[k : k + window])].add(ident)
-        self.by_length: list[tuple[np.ndarray, list[list[str]]]] = []
-        for n in sorted({len(p) for p in found}):
-            chosen = sorted(p for p in found if len(p) == n)
-            self.by_length.append((np.array(chosen, np.int64).reshape(-1, n), [sorted(found[p]) for p in chosen]))
-        self.shortest = min((p.shape[1] for p, _ in self.by_length), default=0)
-        known = sorted(self.numbers, key=self.numbers.get)
-        joined = np.frombuffer(b"".join(known), np.uint8)
-        ends = np.cumsum([len(w) for w in known], dtype=np.int64)
-        hashes = mix(PrefixHashes(joined).of(ends - [len(w) for w in known], ends)) if known else np.zeros(0, np.uint64)
+    """Benchmark windows as rows of word numbers (from 1), the items of each, and the numbered words."""
+
+    def __init__(self, vocabulary: pa.Table, windows: pa.Table):
+        """``vocabulary``: (word, code), both unique; ``windows``: (codes, items), each window once."""
+        self.data, edges = utf8(vocabulary.column("word").combine_chunks())
+        self.starts, self.ends = edges[:-1], edges[1:]
+        hashes = mix(PrefixHashes(self.data).of(self.starts, self.ends)) if vocabulary.num_rows else np.zeros(0, np.uint64)
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
 
+        code = vocabulary.column("code").to_numpy()
+        by_code = np.argsort(code)
+        lists, owners = windows.column("codes").combine_chunks(), windows.column("items").combine_chunks()
+        number = (by_code[np.searchsorted(code[by_code], lists.flatten().to_numpy())] + 1).astype(np.int32)
+        length, owned = (x.value_lengths().to_numpy().astype(np.int64) for x in (lists, owners))
+        first, first_owner = np.cumsum(length) - length, np.cumsum(owned) - owned
+        names = owners.flatten().dictionary_encode()
+        self.names, self.owner = names.dictionary.to_pylist(), names.indices.to_numpy().astype(np.int32)
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in np.unique(length).tolist():
+            which = np.flatnonzero(length == n)
+            self.by_length.append((number[ragged(first[which], length[which])].reshape(-1, n), first_owner[which], owned[which]))
+        self.shortest = self.by_length[0][0].shape[1] if self.by_length else 0
+
+    def word(self, number: int) -> bytes:
+        return self.data[self.starts[number - 1] : self.ends[number - 1]].tobytes()
+
 
 def shard_hits(part: pa.RecordBatch, text: str, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
     """(word start, word end, word's text, words per text, hit flag per word, items per text) of a shard."""
@@ -105,7 +113,7 @@ def shard_hits(part: pa.RecordBatch, text: str, phrases: Phrases) -> tuple[np.nd
     # Hashes choose the words; their bytes confirm them where a phrase could stand.
     raw, (begin, size) = lower.tobytes(), stretches()
     for w in ragged(begin, size).tolist():
-        if phrases.numbers.get(raw[start[w] : end[w]]) != number[w]:
+        if phrases.word(number[w]) != raw[start[w] : end[w]]:
             number[w] = 0
     begin, size = stretches()
     if not len(begin):
@@ -117,7 +125,7 @@ def shard_hits(part: pa.RecordBatch, text: str, phrases: Phrases) -> tuple[np.nd
     symbols[to] = number[word[to]]
     index = FMIndex(symbols)
     change = np.zeros(len(start) + 1, np.int64)
-    for rows, owners in phrases.by_length:
+    for rows, first, owned in phrases.by_length:
         low, high = index.search(rows)
         times = high - low
         which = np.repeat(np.arange(len(rows)), times)
@@ -125,8 +133,8 @@ def shard_hits(part: pa.RecordBatch, text: str, phrases: Phrases) -> tuple[np.nd
         np.add.at(change, at, 1)
         np.add.at(change, at + rows.shape[1], -1)
         pairs = np.unique(row[at] * len(rows) + which) if len(at) else []
-        for pair in pairs:
-            items[pair // len(rows)].update(owners[pair % len(rows)])
+        for text_index, phrase in (divmod(int(pair), len(rows)) for pair in pairs):
+            items[text_index].update(phrases.names[i] for i in phrases.owner[first[phrase] : first[phrase] + owned[phrase]])
     hit = np.cumsum(change)[:-1] > 0
     return start, end, row, count, hit, items
 
@@ -139,21 +147,30 @@ def spans_of(start: np.ndarray, end: np.ndarray, row: np.ndarray, hit: np.ndarra
     return row[first], start[first], end[last]
 
 
-def benchmark_parts(benchmark: DataFrame, item_id: str, text: str, part_words: int) -> Iterator[list[tuple[str, str]]]:
-    """The items with an ID and a text, in lists of at most ``part_words`` words (or one item).
+def benchmark_pieces(benchmark: DataFrame, item_id: str, text: str, window: int, piece_words: int = PIECE_WORDS) -> DataFrame:
+    """(item, words, weight): the words of each item in pieces that share ``window - 1`` words, so that each window lies in one.
 
-    Items stream to the driver one partition at a time and are let go after their pass.
+    ``weight`` counts the words, or half their letters if that is more.
     """
-    held, words = [], 0
-    picked = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
-    for r in picked.toLocalIterator():
-        n = len(r["t"]) // 2 + 1
-        if held and words + n > part_words:
-            yield held
-            held, words = [], 0
-        held.append((r["i"], r["t"]))
-        words += n
-    yield held
+    lower = F.translate(F.col(text), string.ascii_uppercase, string.ascii_lowercase)
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)).alias("words"))
+    begins = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(piece_words))
+    pieces = items.where("item is not null and size(words) > 0").select("item", "words", F.explode(begins).alias("at"))
+    pieces = pieces.select("item", F.slice("words", F.col("at") + 1, F.lit(piece_words + window - 1)).alias("words")).distinct()
+    return pieces.withColumn("weight", F.greatest(F.size("words"), F.expr("length(array_join(words, '')) div 2")).cast("bigint"))
+
+
+def collect_phrases(pieces: DataFrame, window: int) -> Phrases:
+    """Numbered words and grouped windows of one part of the benchmark; only the results reach the driver."""
+    words = pieces.select(F.explode("words").alias("word")).distinct()
+    for seed in itertools.count():
+        vocabulary = words.select("word", F.xxhash64(F.lit(seed), "word").alias("code")).toArrow()
+        if pc.count_distinct(vocabulary.column("code")).as_py() == vocabulary.num_rows:
+            break
+    coded = pieces.select("item", F.transform("words", lambda w: F.xxhash64(F.lit(seed), w)).alias("codes"))
+    places = F.sequence(F.lit(1), F.greatest(F.size("codes") - window + 1, F.lit(1)))
+    windows = coded.select("item", F.explode(F.transform(places, lambda k: F.slice("codes", k, F.lit(window)))).alias("codes"))
+    return Phrases(vocabulary, windows.groupBy("codes").agg(F.collect_set("item").alias("items")).toArrow())
 
 
 def decontaminate(
@@ -167,14 +184,17 @@ def decontaminate(
     words and stays null; repeated rows are separate documents; an item without an ID or words takes
     no part. Carried columns named like an output are replaced.
     """
-    outputs = {"n_words", "n_hit", "items", "spans", "clean_text", "_text"}
+    outputs = {"n_words", "n_hit", "items", "spans", "clean_text", "_text", "_hits", "_items"}
     kept = [c for c in dict.fromkeys((doc_id, *carry)) if c.lower() not in outputs]
     frame = docs.select(*kept, F.col(text).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
-    parts = benchmark_parts(benchmark, item_id, item_text, part_words)
+    pieces = scratch.keep(benchmark_pieces(benchmark, item_id, item_text, window), "benchmark-pieces")
+    total = pieces.agg(F.sum("weight")).first()[0] or 0
+    # Parts are dealt by hash, so they are aimed at half of what one may hold.
+    parts = 1 if total <= part_words else -(-2 * total // part_words)
+    part_of = F.pmod(F.xxhash64("item", "words"), F.lit(parts))
 
-    def marked(items: list[tuple[str, str]], source: DataFrame, last: bool) -> DataFrame:
-        held = source.sparkSession.sparkContext.broadcast(Phrases(items, window))
+    def marked(held: Broadcast, source: DataFrame, last: bool) -> DataFrame:
         has_marks = "_hits" in source.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,10 +237,19 @@ def decontaminate(
         out = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, clean_text string" if last else "_text string, _hits binary, _items array<string>"
         return source.mapInArrow(run, ", ".join(filter(None, [fields, out])))
 
-    current = next(parts)
-    for following in parts:
-        frame, current = marked(current, frame, False), following
-    return marked(current, frame, True)
+    marks = None
+    for number in range(parts):
+        held = frame.sparkSession.sparkContext.broadcast(collect_phrases(pieces.where(part_of == number), window))
+        frame = marked(held, frame, number == parts - 1)
+        if number < parts - 1:
+            # Stored, so that one part's phrases are held at a time and no pass repeats those before it.
+            frame, before = scratch.keep(frame, "benchmark-marks"), marks
+            if before is not None:
+                scratch.drop(before)
+            held.destroy()
+            marks = frame
+    scratch.drop(pieces)
+    return frame
 
 
 def items_digest(items: list[str]) -> str:

@@ -225,6 +225,20 @@ def test_decontamination_matches_brute_force(spark, docs):
     assert {r.n_hit for r in decontamination.decontaminate(docs(rows), benchmark.limit(0)).collect()} == {0}
 
 
+def test_long_benchmark_items_are_cut_without_losing_a_window(spark, docs):
+    long = [f"w{i}" for i in range(2 * decontamination.PIECE_WORDS + 500)]
+    cut = decontamination.PIECE_WORDS
+    benchmark = spark.createDataFrame([("long", " ".join(long)), ("long", " ".join(long)), ("also", " ".join(long[:30]))], "item_id string, text string")
+    pieces = decontamination.benchmark_pieces(benchmark, "item_id", "text", 10).collect()
+    assert max(len(p.words) for p in pieces) <= cut + 9 and len(pieces) == 4
+    rows = [(i, "before " + " ".join(long[a : a + 10]) + " after") for i, a in enumerate((0, cut - 9, cut - 1, cut, 2 * cut - 5, len(long) - 10))]
+    rows += [(20, " ".join(long[cut - 9 : cut])), (21, " ".join(long)), (22, " ".join(reversed(long)))]
+    for part_words in (decontamination.PART_WORDS, cut):
+        got = {r.doc_id: r for r in decontamination.decontaminate(docs(rows), benchmark, part_words=part_words).collect()}
+        assert {i: r.n_hit for i, r in got.items()} == {**dict.fromkeys(range(6), 10), 20: 0, 21: len(long), 22: 0}
+        assert got[0]["items"] == ["also", "long"] and got[1]["items"] == ["long"] and got[21]["items"] == ["also", "long"]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=80), st.lists(st.integers(1, 4), min_size=1, max_size=4))
 def test_fm_index(text, phrase):
