@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from ledgerlight.operators import models
+from ledgerlight.operators.partitioning import partition_counts
 from ledgerlight.operators.sampling import split
 from ledgerlight.sources import readers, schemas, sinks
 from ledgerlight.sources.sales import sales_view
@@ -42,6 +43,22 @@ def test_leaderboard(trained, data):
             assert rows[name][metric] == pytest.approx(value, rel=1e-9)
 
 
+def test_fits_read_bounded_partitions(spark, monkeypatch):
+    sizes = []
+
+    class Counting(LinearRegression):
+        def _fit(self, dataset):
+            sizes.extend(r.rows for r in partition_counts(dataset).collect())
+            return super()._fit(dataset)
+
+    monkeypatch.setattr(models, "TASK_ROWS", 100, raising=False)
+    cells = [(F.col("id") % (i + 2)).cast("double").alias(c) for i, c in enumerate(models.FEATURES)]
+    train = spark.range(0, 5000, 1, 2).select(*cells, F.when(F.col("id") % 10 > 0, F.col("id") * 2.0).alias("TotalAmount"))
+    wanted = {"Linear_Regression": Counting(featuresCol="scaledFeatures", labelCol="TotalAmount")}
+    models.train_all(train, train, models=wanted)
+    assert sum(sizes) == 4500 and max(sizes) <= 150
+
+
 def test_linear_model_solves_the_normal_equations(trained, data):
     train, test = data
     matrix = lambda df: np.array(df.select(*models.FEATURES, "TotalAmount").collect(), dtype=float)
