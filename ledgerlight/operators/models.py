@@ -20,6 +20,7 @@ from ledgerlight.operators.series import lag_features
 # Column names, feature lists and estimators that data files and records refer to.
 FEATURES = ("Quantity", "Discount", "Tax", "ShippingCost", "Month", "DayOfWeek")
 SCORING_COLUMNS = ("OrderDate", "Quantity", "Discount", "Tax", "ShippingCost")
+DEMAND_NUMBERS = ("day_of_month", "day_of_week", "month", "year", "week_of_year", "lag_1_day_qty")
 
 # Training rows per task. A forest keeps some 265 bytes a row, which each pass over a partition reads.
 TASK_ROWS = 2**19
@@ -78,9 +79,8 @@ def category_stages(cols: Sequence[str], hashed: Sequence[str] = (), buckets: in
 
 def demand_pipeline(keys: Sequence[str] = ("ProductID", "State"), hashed: Sequence[str] = ("ProductID",), **options) -> Pipeline:
     """Pipeline from :func:`demand_features` rows to a ``features`` vector; products are hashed."""
-    numbers = ["day_of_month", "day_of_week", "month", "year", "week_of_year", "lag_1_day_qty"]
     assembler = VectorAssembler(
-        inputCols=[*numbers, *[f"{k}_vec" for k in keys]], outputCol="features", handleInvalid="keep"
+        inputCols=[*DEMAND_NUMBERS, *[f"{k}_vec" for k in keys]], outputCol="features", handleInvalid="keep"
     )
     return Pipeline(stages=[*category_stages(keys, hashed, **options), assembler])
 

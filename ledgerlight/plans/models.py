@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ledgerlight.functions.staging import stage, staging_folder
 from ledgerlight.operators import encoding, models
 from ledgerlight.operators.cleaning import clean_orders
+from ledgerlight.operators.effects import fit_effects
 from ledgerlight.operators.quality import model_health, regression_metrics
-from ledgerlight.operators.sampling import split
+from ledgerlight.operators.sampling import hash_split, split
 from ledgerlight.plans.sql import CLEAN, SALES, bucket
 from ledgerlight.sources.readers import load_model
 from ledgerlight.sources.sales import raw_orders, sales_view, table
@@ -58,13 +59,14 @@ def _demand(spark, sf):
     daily = models.demand_features(
         sales_view(spark, sf, ["OrderDate", "ProductID", "State", "Quantity", "TotalAmount"])
     ).withColumn("ProductID", F.col("ProductID").cast("string"))
-    # Stored: indexing, every step of the fit and the rating read it.
-    train, test = split(stage(daily, "daily-demand"), ["order_date", "ProductID", "State"])
+    # Stored with its side of the split: indexing, the fit and the rating read it.
+    daily = stage(hash_split(daily, ["order_date", "ProductID", "State"], name="_train"), "daily-demand")
+    train, test = daily.filter("_train").drop("_train"), daily.filter("NOT _train").drop("_train")
     features = models.demand_pipeline().fit(train)
-    # Sparse vectors with many positions: gradient steps instead of a matrix of all their pairs.
-    model = LinearRegression(featuresCol="features", labelCol="daily_quantity", solver="l-bfgs", maxIter=500)
-    fitted = model.fit(features.transform(train))
-    converged = fitted.summary.totalIterations < model.getMaxIter()
+    # An effect per product position is eliminated exactly; the solver iterates on cross products, not on rows.
+    model = LinearRegression(featuresCol="inputs", labelCol="daily_quantity", solver="normal", maxIter=500, tol=1e-12)
+    fitted = fit_effects(features.transform(train), [*models.DEMAND_NUMBERS, "State_vec"], "ProductID_vec", model)
+    converged = fitted.linear.summary.totalIterations < model.getMaxIter()
     scored = fitted.transform(features.transform(test))
     return regression_metrics(scored, "daily_quantity", "prediction").withColumns(
         {"model": F.lit("Linear_Regression"), "converged": F.lit(converged)}

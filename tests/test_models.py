@@ -1,11 +1,13 @@
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from ledgerlight.operators import models
+from ledgerlight.operators.effects import fit_effects
 from ledgerlight.operators.partitioning import partition_counts
 from ledgerlight.operators.sampling import split
 from ledgerlight.sources import readers, schemas, sinks
@@ -109,6 +111,47 @@ def test_unseen_and_many_categories(spark):
     assert [list(v.indices) for v in vectors] == [[0], [1], [2]]
 
 
+def test_effects_are_least_squares(spark):
+    """Against all indicator columns at once; states are collinear, a position is unseen, a year constant."""
+    from pyspark.ml import Pipeline
+
+    rng = np.random.default_rng(5)
+    n = 600
+    p, s, x, held = rng.integers(0, 40, n), rng.integers(0, 4, n), rng.normal(1995, 2, (n, 2)), rng.random(n) < 0.2
+    y = 3 * x[:, 0] - x[:, 1] + p * 0.5 + s + rng.normal(0, 5, n)
+    held |= p == 39
+    rows = [(str(a), f"s{b}", float(c), float(d), 7.0, float(e), bool(h)) for a, b, (c, d), e, h in zip(p, s, x, y, held)]
+    df = spark.createDataFrame(rows, "p string, s string, a double, b double, c double, y double, held boolean")
+    stages = Pipeline(stages=models.category_stages(["p", "s"], ["p"], buckets=2**16)).fit(df.where("NOT held"))
+    lr = LinearRegression(featuresCol="inputs", labelCol="y", solver="normal", tol=1e-12, maxIter=500)
+    fitted = fit_effects(stages.transform(df.where("NOT held")), ["a", "b", "c", "s_vec"], "p_vec", lr)
+    got = np.array([r.prediction for r in fitted.transform(stages.transform(df)).orderBy("a", "b").select("prediction").collect()])
+    design = np.column_stack([x - 1995, np.eye(4)[s], np.eye(40)[p]])
+    beta = np.linalg.lstsq(design[~held], y[~held], rcond=None)[0]
+    order = np.lexsort((x[:, 1], x[:, 0]))
+    known = (p != 39)[order]
+    np.testing.assert_allclose(got[known], (design @ beta)[order][known], rtol=1e-7)
+    # Gradient steps, run until nothing changes, also agree on the position that was never seen.
+    steps = LinearRegression(featuresCol="features", labelCol="y", solver="l-bfgs", tol=1e-14, maxIter=2000)
+    whole = Pipeline(stages=[*stages.stages, VectorAssembler(inputCols=["a", "b", "c", "s_vec", "p_vec"], outputCol="features"), steps])
+    slow = [r.prediction for r in whole.fit(df.where("NOT held")).transform(df).orderBy("a", "b").select("prediction").collect()]
+    np.testing.assert_allclose(got, slow, rtol=1e-4)
+
+
+def test_demand_solver_iterates_on_few_rows(spark, sf, monkeypatch):
+    """The solver gets cross products, a row per input, however many rows the table has."""
+    sizes, fit = [], LinearRegression._fit
+
+    def counting(self, dataset):
+        sizes.append(dataset.count())
+        return fit(self, dataset)
+
+    monkeypatch.setattr(LinearRegression, "_fit", counting)
+    (row,) = queries()["demand_model"](spark, sf).collect()
+    assert row.converged and row.rows > 1000 and row.rmse == pytest.approx(14.8142, abs=1e-3)
+    assert sizes and max(sizes) < 50
+
+
 @pytest.mark.parametrize("name", ["score_batch", "trained_model_health", "demand_model", "model_leaderboard"])
 def test_model_queries(spark, sf, name):
     rows = queries()[name](spark, sf).collect()
