@@ -42,7 +42,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{staging_folder(spark)}/ledgerlight/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._staged_path = path
+    return stored
 
 
 def stage_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
@@ -71,8 +73,20 @@ def release(since: int = 0) -> None:
         spark, path = _STAGED.pop()
         if path in _TABLES:
             spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop(path)}")
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+        _delete(spark, path)
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete one copy made by :func:`stage` that nothing reads any more."""
+    entry = (stored.sparkSession, stored._staged_path)
+    if entry in _STAGED:
+        _STAGED.remove(entry)
+        _delete(*entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 @contextmanager

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.columns import calendar_fields
+from ledgerlight.operators import trees
 from ledgerlight.operators.aggregates import daily_demand
 from ledgerlight.operators.cleaning import fill_missing, parse_date, require_columns
 from ledgerlight.operators.partitioning import hold, release, spread
@@ -22,7 +23,7 @@ FEATURES = ("Quantity", "Discount", "Tax", "ShippingCost", "Month", "DayOfWeek")
 SCORING_COLUMNS = ("OrderDate", "Quantity", "Discount", "Tax", "ShippingCost")
 DEMAND_NUMBERS = ("day_of_month", "day_of_week", "month", "year", "week_of_year", "lag_1_day_qty")
 
-# Training rows per task. A forest keeps some 265 bytes a row, which each pass over a partition reads.
+# Training rows per task, which each pass over a partition reads.
 TASK_ROWS = 2**19
 
 
@@ -106,7 +107,8 @@ def train_all(
 
     The vectors are built and scaled once, kept while all models are fitted, and each model is
     returned as a full pipeline. They are spread evenly over partitions of at most ``TASK_ROWS`` rows,
-    so a task of a fit reads no more where the table is larger. The leaderboard (model, rmse, mse,
+    so a task of a fit reads no more where the table is larger. Forests and boosting read them once, to make
+    the cells that :mod:`trees` grows them from. The leaderboard (model, rmse, mse,
     mae, r2) rates all models in one pass over the test rows.
     """
     models = dict(models or default_models(label))
@@ -121,11 +123,20 @@ def train_all(
     ).fit(train.observe(size, F.count(F.lit(1)).alias("rows")))
     parts = max(-(-size.get["rows"] // TASK_ROWS), train.sparkSession.sparkContext.defaultParallelism)
     vectors = hold(spread(prepare.transform(train).select("scaledFeatures", label), parts))
+    grown = {name: (m.getMaxBins(), m.getOrDefault("seed")) for name, m in models.items() if trees.supported(m, vectors)}
+    bins = {}
     try:
-        fitted = {name: model.fit(vectors) for name, model in models.items()}
+        try:
+            fitted = {name: model.fit(vectors) for name, model in models.items() if name not in grown}
+            for kind in set(grown.values()):
+                bins[kind] = trees.binned(vectors, "scaledFeatures", label, size.get["rows"], parts, *kind)
+        finally:
+            release(vectors)
+        fitted |= {name: trees.fit(train.sparkSession, models[name], bins[kind]) for name, kind in grown.items()}
     finally:
-        release(vectors)
-    pipelines = {name: PipelineModel(stages=[*prepare.stages, model]) for name, model in fitted.items()}
+        for rows in bins.values():
+            rows.discard()
+    pipelines = {name: PipelineModel(stages=[*prepare.stages, model]) for name, model in ((n, fitted[n]) for n in models)}
     return pipelines, leaderboard(pipelines, test, label)
 
 

@@ -6,7 +6,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from ledgerlight.operators import models
+from ledgerlight.operators import models, trees
 from ledgerlight.operators.effects import fit_effects
 from ledgerlight.operators.partitioning import partition_counts
 from ledgerlight.operators.sampling import split
@@ -61,6 +61,79 @@ def test_fits_read_bounded_partitions(spark, monkeypatch):
     assert sum(sizes) == 4500 and max(sizes) <= 150
 
 
+@pytest.fixture(scope="module")
+def noisy(spark):
+    """Vectors of unlike features (few values, many values, none that varies) and a label that follows from them."""
+    rng = np.random.default_rng(3)
+    n = 4000
+    x = np.column_stack([rng.normal(size=n), rng.integers(0, 5, n), rng.integers(0, 60, n), np.zeros(n), rng.exponential(size=n)])
+    y = 3 * x[:, 0] + np.where(x[:, 1] > 2, 10, 0) * x[:, 4] + np.sin(x[:, 2]) + rng.normal(size=n)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], "a double, b double, c double, d double, e double, y double")
+    return VectorAssembler(inputCols=list("abcde"), outputCol="f").transform(df).select("f", "y").repartition(20).cache()
+
+
+def _predictions(model, df):
+    return np.array([r.prediction for r in model.transform(df).select("prediction").collect()])
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_trees_are_sparks(spark, noisy, monkeypatch, local):
+    """Without random draws the trees are those of Spark's growers, on the driver and in passes over stored cells."""
+    if not local:
+        monkeypatch.setattr(trees, "LOCAL_ROWS", 0)
+        monkeypatch.setattr(trees, "LOCAL_GROUPS", 0)
+    common = dict(featuresCol="f", labelCol="y", seed=7)
+    data = trees.binned(noisy, "f", "y", 4000, 20, 32, 7)
+    assert isinstance(data.blocks, list) == local
+    for estimator in (
+        GBTRegressor(**common, maxIter=3, maxDepth=4, minInstancesPerNode=5, stepSize=0.3),
+        RandomForestRegressor(**common, numTrees=2, bootstrap=False, featureSubsetStrategy="all", maxMemoryInMB=0 if local else 256),
+    ):
+        ours, theirs = trees.fit(spark, estimator, data), estimator.copy({estimator.maxMemoryInMB: 256}).fit(noisy)
+        np.testing.assert_allclose(_predictions(ours, noisy), _predictions(theirs, noisy), rtol=1e-9)
+        assert (ours.totalNumNodes, ours.uid, ours.getMaxDepth(), ours.treeWeights) == (theirs.totalNumNodes, estimator.uid, theirs.getMaxDepth(), theirs.treeWeights)
+        np.testing.assert_allclose(ours.featureImportances.toArray(), theirs.featureImportances.toArray(), atol=0.01)
+    data.discard()
+
+
+def test_training_takes_no_row_objects(spark, data, monkeypatch):
+    """Spark's growers, which keep each row as an object, are not called; the forest is as good as theirs."""
+    forest = RandomForestRegressor(featuresCol="scaledFeatures", labelCol="TotalAmount", seed=42)
+    steps = models.Pipeline(stages=[VectorAssembler(inputCols=list(models.FEATURES), outputCol="features"), models.StandardScaler(inputCol="features", outputCol="scaledFeatures"), forest])
+    reference = models.leaderboard({"f": steps.fit(data[0])}, data[1]).first()
+
+    def refuse(self, dataset):
+        raise AssertionError("rows become objects")
+
+    for kind in (RandomForestRegressor, GBTRegressor):
+        monkeypatch.setattr(kind, "_fit", refuse)
+    got = models.train_all(*data, models={"f": forest, "g": GBTRegressor(featuresCol="scaledFeatures", labelCol="TotalAmount", maxIter=2, seed=42)})[1]
+    rows = {r.model: r for r in got.collect()}
+    assert rows["f"].rmse == pytest.approx(reference.rmse, rel=0.15) and rows["g"].rows == reference.rows
+
+
+def test_equal_bins_become_one_group(spark, monkeypatch):
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 0)
+    df = spark.range(0, 6000, 1, 6).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"), (F.col("id") + 0.5).alias("y"))
+    data = trees.binned(VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(df), "f", "y", 6000, 6, 32, 1)
+    groups = trees.grouped(data)
+    n, mean, around = np.concatenate([c[2] for c in groups.blocks], axis=1)
+    y = np.arange(6000) + 0.5
+    assert len(n) == 21 and n.sum() == 6000
+    assert (n * mean).sum() == pytest.approx(y.sum()) and (around + n * mean**2).sum() == pytest.approx((y**2).sum())
+    data.discard()
+
+
+def test_bootstrap_counts_follow_poisson():
+    from math import exp, factorial
+
+    cuts = trees._poisson_cuts(1.0)
+    counts = np.concatenate([trees._draws(*cuts, 42, 3, block, 100_000) for block in range(10)])
+    shares = np.bincount(counts, minlength=6) / len(counts)
+    np.testing.assert_allclose(shares[:6], [exp(-1) / factorial(k) for k in range(6)], atol=2e-3)
+    assert (trees._draws(*cuts, 42, 3, 0, 100_000) == counts[:100_000]).all()
+
+
 def test_linear_model_solves_the_normal_equations(trained, data):
     train, test = data
     matrix = lambda df: np.array(df.select(*models.FEATURES, "TotalAmount").collect(), dtype=float)
