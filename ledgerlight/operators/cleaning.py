@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -144,14 +144,18 @@ def unique_orders(df: DataFrame, rules: OrderRules = OrderRules()) -> DataFrame:
     return dedup(normal, [rules.key])
 
 
-def clean_orders(df: DataFrame, rules: OrderRules = OrderRules()) -> DataFrame:
+def clean_orders(
+    df: DataFrame, rules: OrderRules = OrderRules(), shape: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """The cleaned order table: :func:`unique_orders` without IQR outliers in the amount.
 
     The deduplicated rows are written once to the shared folder. The quantile passes then read
     one column of that copy and the outlier bounds are pushed down to its scan; the shuffle runs
-    once however many passes follow.
+    once however many passes follow. ``shape`` is applied before the rows are written: a caller that
+    reads them several times stores what it needs of them, computed once. It keeps every row and the amount.
     """
     unique = unique_orders(df, rules)
+    unique = shape(unique) if shape else unique
     if rules.iqr_factor is None:
         return unique
     return iqr_filter(stage(unique, "orders"), rules.amount, rules.iqr_factor, rules.rel_err)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.columns import calendar_fields
@@ -105,37 +105,40 @@ def train_all(
 ) -> tuple[dict[str, PipelineModel], DataFrame]:
     """Fit every model on ``train`` and rate it on ``test``: ``(models, leaderboard)``.
 
-    The vectors are built and scaled once, kept while all models are fitted, and each model is
+    The training rows are read once, kept while the models are fitted, and each model is
     returned as a full pipeline. They are spread evenly over partitions of at most ``TASK_ROWS`` rows,
     so a task of a fit reads no more where the table is larger. Forests and boosting read them once, to make
     the cells that :mod:`trees` grows them from. The leaderboard (model, rmse, mse,
     mae, r2) rates all models in one pass over the test rows.
     """
     models = dict(models or default_models(label))
-    train = train.where(F.col(label).isNotNull())
-    # Counted while the scaler reads the rows.
-    size = Observation()
-    prepare = Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error"),
-            StandardScaler(inputCol="features", outputCol="scaledFeatures"),
-        ]
-    ).fit(train.observe(size, F.count(F.lit(1)).alias("rows")))
-    parts = max(-(-size.get["rows"] // TASK_ROWS), train.sparkSession.sparkContext.defaultParallelism)
-    vectors = hold(spread(prepare.transform(train).select("scaledFeatures", label), parts))
-    grown = {name: (m.getMaxBins(), m.getOrDefault("seed")) for name, m in models.items() if trees.supported(m, vectors)}
+    train = train.where(F.col(label).isNotNull()).select(*features, label)
+    size = train.count()
+    parts = max(-(-size // TASK_ROWS), train.sparkSession.sparkContext.defaultParallelism)
+    # Held as plain columns: vectors take twice the space and are quickly made.
+    rows = hold(spread(train, parts))
+    steps = [
+        VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error"),
+        StandardScaler(inputCol="features", outputCol="scaledFeatures"),
+    ]
     bins = {}
     try:
         try:
+            prepare = Pipeline(stages=steps).fit(rows)
+            vectors = prepare.transform(rows).select("scaledFeatures", label)
+            grown = {name: (m.getMaxBins(), m.getOrDefault("seed")) for name, m in models.items() if trees.supported(m, vectors)}
             fitted = {name: model.fit(vectors) for name, model in models.items() if name not in grown}
+            # The scaler's own products, without a vector per row.
+            scale = [1 / s if s else 0.0 for s in prepare.stages[-1].std.toArray().tolist()]
+            scaled = F.array(*[F.col(c).cast("double") * F.lit(s) for c, s in zip(features, scale)])
             for kind in set(grown.values()):
-                bins[kind] = trees.binned(vectors, "scaledFeatures", label, size.get["rows"], parts, *kind)
+                bins[kind] = trees.binned(rows, scaled, label, size, parts, *kind)
         finally:
-            release(vectors)
+            release(rows)
         fitted |= {name: trees.fit(train.sparkSession, models[name], bins[kind]) for name, kind in grown.items()}
     finally:
-        for rows in bins.values():
-            rows.discard()
+        for cells in bins.values():
+            cells.discard()
     pipelines = {name: PipelineModel(stages=[*prepare.stages, model]) for name, model in ((n, fitted[n]) for n in models)}
     return pipelines, leaderboard(pipelines, test, label)
 

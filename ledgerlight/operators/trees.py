@@ -22,14 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml import Estimator, Model
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     GBTRegressionModel,
     GBTRegressor,
     RandomForestRegressionModel,
     RandomForestRegressor,
 )
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.staging import discard, stage
@@ -123,18 +122,18 @@ class Binned:
             discard(self.blocks)
 
 
-def binned(vectors: DataFrame, features: str, label: str, rows: int, parts: int, max_bins: int, seed: int) -> Binned:
-    """Cells of the ``rows`` in ``parts`` partitions of ``vectors``, to be discarded after use.
+def binned(rows: DataFrame, features: Column, label: str, size: int, parts: int, max_bins: int, seed: int) -> Binned:
+    """Cells of the ``size`` rows in ``parts`` partitions, to be discarded after use; ``features`` is an array.
 
     Thresholds come from as many rows as Spark's growers take (``max_bins`` squared, 10,000 at least).
     """
     wanted = max(max_bins**2, 10_000)
-    cells = vectors.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"))
-    seen = cells.select("x") if rows <= wanted else cells.select("x").sample(False, wanted / rows, seed)
+    cells = rows.select(features.alias("x"), F.col(label).cast("double").alias("y"))
+    seen = cells.select("x") if size <= wanted else cells.select("x").sample(False, wanted / size, seed)
     seen = np.array([r["x"] for r in seen.collect()], dtype=float)
     if not seen.size:
         raise ValueError("no rows to fit")
-    data = Binned([], [thresholds(column, min(max_bins, rows) - 1) for column in seen.T], rows, parts)
+    data = Binned([], [thresholds(column, min(max_bins, size) - 1) for column in seen.T], size, parts)
     splits, kind, k = data.splits, data.kind, len(data.splits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,6 +46,14 @@ def test_broken_copy_does_not_displace_a_good_one(spark):
     assert [r.TotalAmount for r in c.clean_orders(raw, c.OrderRules(iqr_factor=None)).collect()] == [7.0]
 
 
+def test_clean_orders_stores_what_the_caller_shapes(spark):
+    raw = orders(spark, *[{"OrderID": str(i), "TotalAmount": 10.0 + i} for i in range(9)], {"OrderID": "far", "TotalAmount": 1e6})
+    shaped = c.clean_orders(raw, shape=lambda rows: rows.select("TotalAmount", (F.col("Quantity") * 2).alias("twice")))
+    assert shaped.columns == ["TotalAmount", "twice"]
+    assert sorted(map(tuple, shaped.collect())) == sorted((r.TotalAmount, r.Quantity * 2) for r in c.clean_orders(raw).collect())
+    assert "Project" not in plan(shaped) and "Window" not in plan(shaped)
+
+
 def test_clean_orders_removes_outliers_and_pushes_the_bounds(spark):
     raw = orders(spark, *[{"OrderID": str(i), "TotalAmount": float(i)} for i in range(1, 21)], {"OrderID": "far", "TotalAmount": 1e6})
     clean = c.clean_orders(raw)

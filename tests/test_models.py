@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def test_trees_are_sparks(spark, noisy, monkeypatch, local):
         monkeypatch.setattr(trees, "LOCAL_ROWS", 0)
         monkeypatch.setattr(trees, "LOCAL_GROUPS", 0)
     common = dict(featuresCol="f", labelCol="y", seed=7)
-    data = trees.binned(noisy, "f", "y", 4000, 20, 32, 7)
+    data = trees.binned(noisy, vector_to_array("f"), "y", 4000, 20, 32, 7)
     assert isinstance(data.blocks, list) == local
     for estimator in (
         GBTRegressor(**common, maxIter=3, maxDepth=4, minInstancesPerNode=5, stepSize=0.3),
@@ -112,10 +113,19 @@ def test_training_takes_no_row_objects(spark, data, monkeypatch):
     assert rows["f"].rmse == pytest.approx(reference.rmse, rel=0.15) and rows["g"].rows == reference.rows
 
 
+def test_cells_have_the_scalers_values(spark, data):
+    """Predictions of a grown model meet its thresholds on the vectors that the scaler makes."""
+    one = GBTRegressor(featuresCol="scaledFeatures", labelCol="TotalAmount", maxIter=2, seed=42)
+    fitted = models.train_all(*data, models={"g": one})[0]["g"]
+    vectors = models.PipelineModel(stages=fitted.stages[:-1]).transform(data[0])
+    reference = one.fit(vectors)
+    assert _predictions(reference, vectors) == pytest.approx(_predictions(fitted.stages[-1], vectors), rel=1e-9)
+
+
 def test_equal_bins_become_one_group(spark, monkeypatch):
     monkeypatch.setattr(trees, "LOCAL_ROWS", 0)
     df = spark.range(0, 6000, 1, 6).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"), (F.col("id") + 0.5).alias("y"))
-    data = trees.binned(VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(df), "f", "y", 6000, 6, 32, 1)
+    data = trees.binned(df, F.array("a", "b"), "y", 6000, 6, 32, 1)
     groups = trees.grouped(data)
     n, mean, around = np.concatenate([c[2] for c in groups.blocks], axis=1)
     y = np.arange(6000) + 0.5
